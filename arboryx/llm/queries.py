@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, e8, lm, mixing, packing, simhash, substring, topk
+from . import chat, e8, lm, mixing, packing, quality, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.label_grades(_table(spark, sf_dir, "labels")), 3)
+    return quality.grade(docs, model, least_grade=2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op3_topk": op3_topk,
         "op4_mixing": op4_mixing,
+        "op5_quality": op5_quality,
         "op7_packing": op7_packing,
         "op8_lattice_lm": op8_lattice_lm,
         "op9_lattice": op9_lattice,
