@@ -158,8 +158,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each document repeated as often as ``mixed`` says (ids must be unique)."""
-    copies = mixed.select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
-    repeated = docs.join(copies, F.col(id_col) == F.col("_id")).where("_copies > 0")
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row repeated as often as ``mixed`` says.
+
+    Rows of one id, source and size get the same number of copies, the largest of theirs.
+    """
+    copies = mixed.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size"))
+    repeated = docs.join(copies, same).where("_copies > 0")
     return repeated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

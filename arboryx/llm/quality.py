@@ -117,7 +117,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
         model = fit([np.asarray(x, np.int32) for x in pdf["f"]], pdf["grade"].to_numpy(), n_grades)
         return pd.DataFrame({"w": [model.weights.astype("<f4").tobytes()], "t": [model.thresholds.tolist()]})
 
-    got = made.groupBy(F.lit(0)).applyInPandas(learn, "w binary, t array<double>").first()
+    got = made.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "w binary, t array<double>").first()
     return Model(np.frombuffer(bytes(got.w), "<f4"), np.array(got.t)) if got else None
 
 
@@ -143,3 +143,18 @@ def grade(docs: DataFrame, model: Model | None, least_grade: int, tail: float =
 def label_grades(labels: DataFrame) -> DataFrame:
     """Grades of the label table: 0 toxic, 1 low quality, 2 good; a null toxic counts as not toxic."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def keep_selected(docs: DataFrame, model: Model | None, least_grade: int, tail: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``grade`` would select."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            tails = shared.value.tails([features(t.as_py()) for t in b.column(at)])
+            yield b.filter(pa.array(tails[:, least_grade - 1] >= tail))
+
+    return docs.mapInArrow(run, docs.schema)

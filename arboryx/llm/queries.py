@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, e8, lm, mixing, packing, quality, simhash, substring, topk
+import corpus_pipeline
+
+from . import chat, e8, html, lm, mixing, packing, quality, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model, least_grade=2)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -93,10 +99,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": op3_topk,
         "op4_mixing": op4_mixing,
         "op5_quality": op5_quality,
+        "op6_html": op6_html,
         "op7_packing": op7_packing,
         "op8_lattice_lm": op8_lattice_lm,
         "op9_lattice": op9_lattice,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 

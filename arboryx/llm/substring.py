@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a minimizer.
 MINIMIZER = 5
@@ -250,22 +251,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, carry: bool = False) -> DataFrame:
     """Removes each word that a repeated edge covers: (id, n_words, n_removed, kept).
 
     Words are what stands between spaces and U+0009 to U+000D; ``kept`` joins the kept ones by one
     space. Whether an edge is repeated is judged on the input. Documents of fewer than ``k`` words lose
     nothing, a null text has no words. Rows that share an id are compared like other documents,
     save that the same words at the same start do not count as earlier. A null id is never compared.
+    With ``carry`` a column ``row`` follows, a struct of the other columns of ``docs``.
     """
     spans = repeated_spans(docs, id_col, text_col, k)
     per_doc = spans.groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
 
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("variant"), row.alias("row"), F.col(text_col).alias("z"))
+    packed = T.StructType([f for f in rows.schema.fields[:3]] + [T.StructField("z", T.BinaryType())])
+    stripped = T.StructType(
+        [T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), rows.schema["row"]]
+    )
+
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [c.compress((t.as_py() or "").encode()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc", "variant", "z"])
+            z = [c.compress((t.as_py() or "").encode()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.binary())], names=["doc", "variant", "row", "z"])
 
     def strip(batches):
         d = zstandard.ZstdDecompressor()
@@ -286,7 +296,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         kept = words
                     out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
                 n, r, t = zip(*out)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.string()), part.column(3)], names=[id_col, "n_words", "n_removed", "kept", "row"])
+
+    small = rows.mapInArrow(squeeze, packed)
+    out = small.join(per_doc, ["doc", "variant"], "left").select("doc", "z", "spans", "row").mapInArrow(strip, stripped)
+    return out if carry else out.drop("row")
+
 
-    small = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("variant"), text_col).mapInArrow(squeeze, "doc long, variant long, z binary")
-    return small.join(per_doc, ["doc", "variant"], "left").select("doc", "z", "spans").mapInArrow(strip, f"`{id_col}` long, n_words long, n_removed long, kept string")
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20) -> DataFrame:
+    """``docs`` with the kept words as text where words were removed; other rows keep their text as it is."""
+    done = remove_repeats(docs.withColumn("_text", F.col(text_col)), id_col, text_col, k, carry=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row._text"))
+    named = {id_col: F.col(f"`{id_col}`"), text_col: text}
+    return done.select(*[named.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
