@@ -100,7 +100,7 @@ PASSES = """marked AS (
 ), numbered AS (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM marked
 ), passes AS (
-  SELECT user_id || '-' || CAST(s AS BIGINT) AS pass_id, max(ts) AS at, list_sort(list_distinct(list(node))) AS node_ids FROM numbered GROUP BY user_id, s
+  SELECT user_id || '-' || CAST(s AS BIGINT) AS pass_id, max(ts) AS fired_at, list_sort(list_distinct(list(node))) AS node_ids FROM numbered GROUP BY user_id, s
 )"""
 
 
