@@ -54,7 +54,7 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float =
     the bracket is replaced by halving it. Sources at their cap or without tokens have no multiplier
     to find. Only the largest relative error reaches the driver.
     """
-    unit = classes.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("_unit"))
+    unit = classes.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("_unit"))
     open_goals = goals.where((F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap) & (F.col("target") > 0))
     both = F.col("l.source").eqNullSafe(F.col("r.source"))
     state = cut(
@@ -79,7 +79,7 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float =
         )
         lo = F.when(F.col("_got") <= F.col("target"), F.col("_lam")).otherwise(F.col("_lo"))
         hi = F.when(F.col("_got") > F.col("target"), F.col("_lam")).otherwise(F.col("_hi"))
-        newton = F.col("_lam") - (F.col("_got") - F.col("target")) / F.col("_slope")
+        newton = F.col("_lam") - (F.col("_got") - F.col("target")) / F.nullif(F.col("_slope"), F.lit(0.0))
         newton = F.least(F.greatest(newton, F.col("_lam") - 4), F.col("_lam") + 4)
         inside = (F.coalesce(F.col("_lo2"), F.lit(-1e300)) <= newton) & (newton <= F.coalesce(F.col("_hi2"), F.lit(1e300)))
         halved = (F.coalesce(F.col("_lo2"), F.col("_hi2") - 8) + F.coalesce(F.col("_hi2"), F.col("_lo2") + 8)) / 2
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rated = (
         classes.alias("l").join(goals.alias("r"), same).select("l.source", "size", "n", "source_size", "target").alias("l")
         .join(multipliers.alias("r"), same, "left").select("l.*", "_lam", "_unit")
-        .withColumn("rate", rate)
+        .withColumn("rate", F.round(rate, 9))  # sums in another order differ in the last digits alone
         .withColumn("_sum", expected)
         .withColumn("_more", F.floor(F.col("_sum") + 0.5) - F.floor(F.coalesce(F.lag("_sum").over(along), F.lit(0.0)) + 0.5))
         .withColumn("_more", F.least(F.greatest("_more", F.lit(0)), "n"))
