@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arboryx.functions import vectors
 
@@ -81,7 +82,7 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * common / both)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())  # a type, not its name: no session is needed to import
 def sign_test(better: pd.Series, worse: pd.Series) -> pd.Series:
     """Two-sided exact sign test: min(1, 2 * P(at most the smaller count)); 1 without pairs."""
 
