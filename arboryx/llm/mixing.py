@@ -95,6 +95,24 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float =
     return state.select("source", "_lam", "_unit")
 
 
+def _closer(rated: DataFrame, cap: float) -> DataFrame:
+    """Moves one document of one size per source, where that brings the source nearer its target.
+
+    ``_more`` documents of each (source, size) get an extra copy; what a source still lacks or has too
+    much is compared with its sizes, and the size nearest to it gains or loses one.
+    """
+    lacking = F.sum(F.col("n") * (F.col("rate") - F.floor("rate")) * F.col("size") - F.col("_more") * F.col("size"))
+    gaps = rated.groupBy("source").agg(lacking.alias("_gap"))
+    same = F.col("l.source").eqNullSafe(F.col("r.source"))
+    near = rated.alias("l").join(gaps.alias("r"), same).select("l.*", "_gap")
+    room = (F.col("size") > 0) & F.when(F.col("_gap") > 0, (F.col("_more") < F.col("n")) & (F.floor("rate") + 1 <= cap)).otherwise(F.col("_more") > 0)
+    off = F.abs(F.abs(F.col("_gap")) - F.col("size"))
+    best = near.where(room & (off < F.abs(F.col("_gap")))).groupBy("source", "_gap").agg(F.min(F.struct(off.alias("off"), F.col("size").alias("size"))).alias("_best"))
+    moved = near.alias("l").join(best.alias("r"), same, "left").select("l.*", "_best")
+    step = F.when(F.col("size") == F.col("_best.size"), F.signum("_gap").cast("long")).otherwise(0)
+    return moved.withColumn("_more", F.col("_more") + step).drop("_gap", "_best")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size) with size in words; a null text has none."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -106,8 +124,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     Returns one row per row of ``docs``: (id, source, size, source_size, target, rate, copies).
     Rates come from ``balance`` and depend on (source, size) alone; they are rounded without a draw:
-    along a source's sizes the running sum of expected copies is rounded, which keeps a source within
-    about half its largest document of the target, and within a class of equal sizes the documents
+    along a source's sizes the running sum of expected copies is rounded, then one document more or less
+    closes most of the gap that is left, and within a class of equal sizes the documents
     with the smallest hash of the id get the larger count. Classes of many rows are split into hash
     ranges; only the range in which the count runs out is ranked.
 
@@ -133,7 +151,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         .withColumn("_ranges", F.ceil(F.col("n") / RANKED))
         .drop("_lam", "_unit", "_sum")
     )
-    rated = cut(rated)
+    rated = cut(_closer(rated, cap))
     match = same & (F.col("l.size") == F.col("r.size"))
     hashed = F.xxhash64(id_col)
     keyed = (
