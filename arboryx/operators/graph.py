@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arboryx.lineage import cut
@@ -54,34 +54,32 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.select(F.col("e.src").alias("id"), F.col("e.dst").alias("neighbour")).where("id <> neighbour").distinct()
 
 
-def _hop(frontier: DataFrame, edges: DataFrame, scale: Column, penalty: DataFrame | None, beta: float) -> DataFrame:
-    moved = frontier.join(edges, F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("cond")).alias("x"))
-    if penalty is not None:
-        moved = moved.join(penalty, "id").withColumn("x", F.col("x") / F.pow(F.greatest("in_degree", F.lit(1)), F.lit(beta)))
-    return moved.select("query_id", "id", (F.col("x") * scale).alias("x"))
-
-
-def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4, co_locate: bool = True) -> DataFrame:
     """Spreading activation of many queries at once.
 
     ``seeds`` is (query_id, id, x), ``edges`` (src, dst, cond). ``raw``: x <- damping * A'x, the last
     frontier only. ``degnorm``: the same on row-normalised edges. ``ppr``: x <- (1 - alpha) * A'x +
     alpha * seed on row-normalised edges; seeds are not scaled to one and what reaches a node without
     edges is lost. ``accumulate``: x <- damping * A'x + seed. beta > 0 divides each hop by
-    in_degree ** beta. ``trace`` returns all frames with their iteration. Each hop is one join and one
-    aggregation with map-side combine; edges are normalised and stored once.
+    in_degree ** beta. ``trace`` returns all frames with their iteration.
+
+    Normalising and the penalty are part of the stored edges, so a hop is one join and one aggregation
+    with map-side combine. ``co_locate`` stores the edges by source, so that only frontiers move; leave
+    it off for graphs whose sources are not bounded (see evolve.saturated), then AQE splits hot ones.
     """
-    plain = operator in ("raw", "accumulate")
-    graph = cut(edges.select("src", "dst", "cond") if plain else row_normalised(edges))
-    penalty = cut(in_degree(edges)) if beta else None
-    x, frames = seeds.select("query_id", "id", F.col("x").cast("double").alias("x")), []
-    seed = x.groupBy("query_id", "id").agg(F.sum("x").alias("x"))
-    x = seed
+    graph = edges.select("src", "dst", "cond") if operator in ("raw", "accumulate") else row_normalised(edges)
+    if beta:
+        penalty = in_degree(edges).select(F.col("id").alias("dst"), F.pow(F.greatest("in_degree", F.lit(1)), F.lit(beta)).alias("_p"))
+        graph = graph.join(penalty, "dst").select("src", "dst", (F.col("cond") / F.col("_p")).alias("cond"))
+    graph = cut(graph.repartition("src") if co_locate else graph)
+    seed = seeds.groupBy("query_id", "id").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    x, frames = seed, []
+    scale, again = (1 - alpha, alpha) if operator == "ppr" else (damping, 1.0 if operator == "accumulate" else 0.0)
     for i in range(1, (iterations if operator == "ppr" else hops) + 1):
-        x = _hop(x, graph, F.lit(1 - alpha if operator == "ppr" else damping), penalty, beta)
-        if operator in ("ppr", "accumulate"):
-            again = seed.withColumn("x", F.col("x") * (alpha if operator == "ppr" else 1.0))
-            x = x.unionByName(again).groupBy("query_id", "id").agg(F.sum("x").alias("x"))
+        moved = x.join(graph, F.col("id") == F.col("src")).select("query_id", F.col("dst").alias("id"), (F.col("x") * F.col("cond") * scale).alias("x"))
+        if again:
+            moved = moved.unionByName(seed.withColumn("x", F.col("x") * again))
+        x = moved.groupBy("query_id", "id").agg(F.sum("x").alias("x"))
         if i % cut_every == 0:
             x = cut(x)
         if trace:

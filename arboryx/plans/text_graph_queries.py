@@ -218,3 +218,18 @@ def freshness_by_gap(t):
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     told = t.events.withColumn("before", F.lag("ts").over(w)).where("before is not null")
     return told.select("event_id", F.round(scalar.freshness_half_life((micros("ts") - micros("before")) / 86_400_000_000.0) + 1e-11, 8).alias("fresh"))
+
+
+@query()
+def retrieval(t):
+    """Documents and their vectors: every hundredth vector asks; documents that share rare words are joined."""
+    from arboryx.operators import identity, retrieve
+
+    words = fx.tokens(t).where("length(token) >= 8")
+    pairs = identity.shared_pairs(words, "doc_id", "token", 12, 20)
+    weight = F.least(F.lit(0.7), 0.25 + 0.1 * F.col("shared"))
+    edges = pairs.select(F.explode(F.array(F.struct(F.col("l").alias("src"), F.col("r").alias("dst")), F.struct(F.col("r").alias("src"), F.col("l").alias("dst")))).alias("e"), weight.alias("weight"))
+    edges = edges.select("e.src", "e.dst", F.lit("shares_words").alias("rel"), "weight")
+    nodes = _unit(t).join(t.documents.select(F.col("doc_id").alias("id")), "id").select("id", "v", (F.col("id") % 10 == 0).alias("is_anchor"))
+    found = retrieve.retrieve(nodes, edges, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"))
+    return found["nodes"]
