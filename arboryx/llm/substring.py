@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: Words of a minimizer.
 MINIMIZER = 5
 #: Text bytes that a task works on at a time (a longer document is worked on whole), and those whose edges share a bucket on average.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
 
@@ -113,6 +113,15 @@ def _runs(doc, start, n, src_doc, src_start):
     return doc[head], start[head], np.add.reduceat(n, head), src_doc[head], src_start[head]
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Bytes of an array, all first bytes, then all second ones and so on: high bytes of small numbers compress away."""
+    return x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _COLUMNS = ["bucket", "ids", "variants", "doc", "start", "edges", "minimizer", "edge", "repeats"]
 
 
@@ -153,16 +162,19 @@ def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buc
         mine[:, 0], mine[:, 3] = small[len(some) : len(some) + len(mine)], small[len(some) + len(mine) :]
         sizes = n[some]
         inner = np.repeat(offset[some] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        steps = np.diff(ids[used], prepend=np.int64(0))  # ids are in order here, so most steps are small
         yield (
-            int(to[cuts[g]]), ids[used].astype("<i8").tobytes(), variants[used].astype("<i8").tobytes(), small[: len(some)].astype("<u4").tobytes(),
-            start[some].astype("<u4").tobytes(), sizes.astype("u1").tobytes(), minimizer[some].astype("<u8").tobytes(), octets[inner].tobytes(), mine.tobytes(),
+            int(to[cuts[g]]), _planes(steps, "<i8"), _planes(variants[used], "<u4"), _planes(small[: len(some)], "<u4"), _planes(start[some], "<u4"),
+            sizes.astype("u1").tobytes(), minimizer[some].astype("<u8").tobytes(), octets[inner].tobytes(), _planes(mine.ravel(), "<u4"),
         )
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeated runs of the edges of one bucket: (doc, variant, start, edges, source doc, source start)."""
     get = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-    ids, variants, docs, repeats = get("ids", "<i8"), get("variants", "<i8"), get("doc", "<u4"), get("repeats", "<u4")
+    apart = lambda c, kind: [_numbers(x, kind) for x in pdf[c]]
+    ids, variants = [np.cumsum(x) for x in apart("ids", "<i8")], [x.astype(np.int64) for x in apart("variants", "<u4")]
+    docs, repeats = apart("doc", "<u4"), apart("repeats", "<u4")
     out = []
     for i, v, r in zip(ids, variants, repeats):
         if len(r):
@@ -171,11 +183,13 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     doc = np.concatenate([i[d] for i, d in zip(ids, docs)])
     if len(doc):
         variant = np.concatenate([v[d] for v, d in zip(variants, docs)])
-        start, n, mini = (np.concatenate(get(c, k)) for c, k in (("start", "<u4"), ("edges", "u1"), ("minimizer", "<u8")))
+        start, n, mini = (np.concatenate(x) for x in (apart("start", "<u4"), get("edges", "u1"), get("minimizer", "<u8")))
         start, n = start.astype(np.int64), n.astype(np.int64)
         octets = np.concatenate([x.reshape(-1, 6) for x in get("edge", "u1")])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
         order = np.lexsort([start, variant, doc])  # paths, and so edges, in the order of coordinates
+        d, v, at = doc[order], variant[order], start[order]
+        order = order[np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (at[1:] != at[:-1])])]  # repeated rows once
         doc, variant, start, mini = doc[order], variant[order], start[order], mini[order]
         sizes = n[order]
         which = np.repeat(np.arange(len(order)), sizes)
@@ -198,6 +212,11 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(["doc", "variant", "start", "n", "src_doc", "src_start"], cols))).astype("int64")
 
 
+def variant_of(text_col: str):
+    """24 bits of a text's hash, which tell rows of one id apart; ids are seldom repeated, so few bits do."""
+    return F.xxhash64(text_col).bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Repeated edges as runs (doc, variant, start, n, src_doc, src_start), not yet compacted across buckets."""
     text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -207,7 +226,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
         powers = _Powers(_BASE), _Powers(_INVERSE)
 
         def chunk(rows):
-            rows.sort(key=lambda r: r[0])
+            rows = sorted({(r[0], r[1]): r for r in rows}.values(), key=lambda r: r[:2])
             made = _ship(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], k, buckets, powers)
             made = list(made)
             if made:
@@ -226,7 +245,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
             yield from chunk(rows)
 
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS[1:])
-    shipped = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(text_col), text_col).mapInArrow(edges, schema)
+    shipped = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), variant_of(text_col), text_col).mapInArrow(edges, schema)
     return shipped.groupBy("bucket").applyInPandas(_resolve, "doc long, variant long, start long, n long, src_doc long, src_start long")
 
 
@@ -240,8 +259,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     runs = repeated_runs(docs, id_col, text_col, k).withColumn("diagonal", F.col("src_start") - F.col("start"))
     key = ["doc", "variant", "src_doc", "diagonal"]
-    ends = runs.select(*key, (F.col("start") + F.col("n")).alias("start"), F.lit(True).alias("_before")).distinct()
-    linked = runs.select(*key, "start", "n").distinct().join(ends, [*key, "start"], "left")
+    # both sides are reduced on the very keys of the join, so neither is shuffled twice
+    ends = runs.select(*key, (F.col("start") + F.col("n")).alias("start")).groupBy(*key, "start").agg(F.lit(True).alias("_before"))
+    linked = runs.groupBy(*key, "start").agg(F.max("n").alias("n")).join(ends, [*key, "start"], "left")
     along = Window.partitionBy(*key).orderBy("start")
     numbered = linked.withColumn("_path", F.sum(F.when(F.col("_before").isNull(), 1).otherwise(0)).over(along))
     return (
@@ -265,14 +285,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     others = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("variant"), row.alias("row"), F.col(text_col).alias("z"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), variant_of(text_col).alias("variant"), row.alias("row"), F.col(text_col).alias("z"))
     packed = T.StructType([f for f in rows.schema.fields[:3]] + [T.StructField("z", T.BinaryType())])
     stripped = T.StructType(
         [T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), rows.schema["row"]]
     )
 
     def squeeze(batches):
-        c = zstandard.ZstdCompressor(level=3)
+        c = zstandard.ZstdCompressor(level=6)
         for b in batches:
             z = [c.compress((t.as_py() or "").encode()) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.binary())], names=["doc", "variant", "row", "z"])

@@ -75,7 +75,7 @@ def removed(rows, k=20):
     return {k: sorted(v, key=str) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("chunk", [3 << 20, 500])
+@pytest.mark.parametrize("chunk", [2 << 20, 500])
 def test_substring(docs, monkeypatch, chunk):
     monkeypatch.setattr(substring, "CHUNK_BYTES", chunk)
     assert by_id(substring.remove_repeats(docs)) == removed(documents())
