@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, product
 
 import numpy as np
@@ -14,6 +15,9 @@ from .topk import finite
 
 #: Vectors of a block of a large cell; a task holds two blocks at a time.
 BLOCK_ROWS = 2048
+#: Cells of up to this many entries share a task with others, about BATCH_ROWS entries in all.
+SMALL_CELL = 64
+BATCH_ROWS = 20_000
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -78,7 +82,28 @@ def _meet(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
     return (cx[:, :, :1] == cy).any(axis=2) | (cx == cy[:, :, :1]).any(axis=2)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8, probes: int = 8, scale: float = 3.7, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _in_small(group: np.ndarray):
+    """All pairs of rows of the same (sorted) group, by their distance in the order."""
+    for step in range(1, len(group)):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            return
+        yield i, i + step
+
+
+def _in_large(group: np.ndarray, unit: np.ndarray, threshold: float):
+    """Pairs of rows of the same (sorted) group whose cosine is about the threshold or more."""
+    for g in np.unique(group):
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        for at in range(lo, hi, 256):
+            to = min(at + 256, hi)
+            i, j = np.nonzero(unit[at:to] @ unit[at:hi].T >= threshold - 1e-9)
+            ahead = i < j
+            for part in range(0, int(ahead.sum()), 50_000):
+                yield at + i[ahead][part : part + 50_000], at + j[ahead][part : part + 50_000]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 5, probes: int = 5, scale: float = 3.0, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine at least ``threshold`` that meet in a lattice cell of some table.
 
     Returns one row per row of ``vectors``: (id, n_links long, component_id, kept boolean). Every
@@ -94,13 +119,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and
     vectors of different lengths do not link. Repeated ids with equal vectors link with each other.
     """
-    rows = cut(vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("x")))
+    rows = cut(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x")))
     good = rows.where(finite(F.col("x")) & F.exists("x", lambda v: v != 0))
     entries = cut(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     entries = entries.withColumn("rep", F.monotonically_increasing_id())  # a checkpoint's numbering holds
 
     def unit(x: pd.Series) -> np.ndarray:
-        a = np.stack(x.to_numpy())
+        a = np.stack(x.to_numpy()).astype(np.float64)
         a = a / np.abs(a).max(axis=1, keepdims=True)  # keeps squares of huge and tiny components finite
         return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
 
@@ -121,59 +146,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     # cells are named first without the vectors, so that only shared cells carry them
     named = entries.select("rep", "x").mapInPandas(place, f"t int, cell long, home boolean, dim int, rep long")
     keyed = cut(named)
-    shared = keyed.groupBy("t", "cell", "dim").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
-    met = keyed.join(shared.select("t", "cell", "dim"), ["t", "cell", "dim"])
-    full = cut(tiled(met, ["t", "cell", "dim"], "rep", BLOCK_ROWS)).join(entries, "rep")
+    shared = cut(keyed.groupBy("t", "cell", "dim").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home"))
+    batches = math.ceil((shared.where(F.col("n") <= SMALL_CELL).agg(F.sum("n")).first()[0] or 1) / BATCH_ROWS)
+    met = keyed.join(shared.select("t", "cell", "dim", "n"), ["t", "cell", "dim"])
+    of_cell = F.xxhash64("t", "cell")
+    alone = F.lit(-1)
+    small = met.where(F.col("n") <= SMALL_CELL).select("*", alone.alias("block"), alone.alias("tile_a"), alone.alias("tile_b"), F.pmod(of_cell, F.lit(batches)).alias("g")).drop("n")
+    large = tiled(met.where(F.col("n") > SMALL_CELL).drop("n"), ["t", "cell", "dim"], "rep", BLOCK_ROWS).withColumn("g", of_cell)
+    full = cut(small.unionByName(large)).join(entries, "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, cell, ta, tb = (pdf[c].iloc[0] for c in ("t", "cell", "tile_a", "tile_b"))
-        pdf = pdf.sort_values("rep")
-        u, rep, home = unit(pdf["x"]), pdf["rep"].to_numpy(), pdf["home"].to_numpy()
-        block, weight = pdf["block"].to_numpy(), pdf["weight"].to_numpy()
-        tab = Tables(u.shape[1], tables, probes, scale, seed)
-        cells, count = None, np.zeros(len(u), np.int64)
-        parent = np.arange(len(u))
-        left, right = [], []
-        for at in range(0, len(u), 512):
-            some = slice(at, min(at + 512, len(u)))
-            cos = u[some] @ u.T
-            i, j = np.nonzero(cos >= threshold - 1e-9)
-            i += at
-            ok = (i < j) & (home[i] | home[j])
-            if ta != tb:
+        pdf = pdf.sort_values(["t", "cell", "rep"])
+        t, cell, rep, home, block, weight = (pdf[c].to_numpy() for c in ("t", "cell", "rep", "home", "block", "weight"))
+        u, crossing = unit(pdf["x"]), pdf["tile_a"].iloc[0] != pdf["tile_b"].iloc[0]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (cell[1:] != cell[:-1])])
+        group, tab = np.cumsum(new), Tables(u.shape[1], tables, probes, scale, seed)
+        names, node = np.unique(rep, return_inverse=True)
+        count, parent, left, right = np.zeros(len(names), np.int64), list(range(len(names))), [], []
+        for i, j in _in_small(group) if pdf["tile_a"].iloc[0] < 0 else _in_large(group, u, threshold):
+            ok = home[i] | home[j]
+            if crossing:
                 ok &= block[i] != block[j]
             i, j = i[ok], j[ok]
-            if not len(i):
-                continue
             close = (u[i] * u[j]).sum(axis=1) >= threshold
             i, j = i[close], j[close]
-            for lo in range(0, len(i), 20000):
-                a, b = i[lo : lo + 20000], j[lo : lo + 20000]
-                if cells is None:
-                    cells = tab.cells(u)
-                cx, cy = cells[a], cells[b]
-                meets = _meet(cx, cy)
-                first = meets.argmax(axis=1)
-                mine = first == t
-                hx, hy = cx[np.arange(len(a)), first, 0], cy[np.arange(len(a)), first, 0]
-                in_x = (cy[np.arange(len(a)), first] == hx[:, None]).any(axis=1)  # they meet in x's home
-                in_y = (cx[np.arange(len(a)), first] == hy[:, None]).any(axis=1)
-                where = np.where(in_x & in_y, np.minimum(hx, hy), np.where(in_x, hx, hy))
-                mine &= where == cell
-                a, b = a[mine], b[mine]
-                np.add.at(count, a, weight[b])
-                np.add.at(count, b, weight[a])
-                for p, q in zip(a.tolist(), b.tolist()):
-                    p, q = _root(parent, p), _root(parent, q)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        left.append(p)
-                        right.append(q)
+            if not len(i):
+                continue
+            # of all places where a pair meets, one counts it: the first table, there the cell of the smaller name
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            cells = tab.cells(u[some])
+            cx, cy = cells[at[: len(i)]], cells[at[len(i) :]]
+            first, row = _meet(cx, cy).argmax(axis=1), np.arange(len(i))
+            hx, hy = cx[row, first, 0], cy[row, first, 0]
+            in_x, in_y = (cy[row, first] == hx[:, None]).any(axis=1), (cx[row, first] == hy[:, None]).any(axis=1)
+            where = np.where(in_x & in_y, np.minimum(hx, hy), np.where(in_x, hx, hy))
+            mine = (first == t[i]) & (where == cell[i])
+            i, j = i[mine], j[mine]
+            np.add.at(count, node[i], weight[j])
+            np.add.at(count, node[j], weight[i])
+            for p, q in zip(node[i].tolist(), node[j].tolist()):
+                p, q = _root(parent, p), _root(parent, q)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    left.append(p)
+                    right.append(q)
         some = np.flatnonzero(count)
-        links = pd.DataFrame({"a": rep[some], "b": rep[some], "n": count[some]})
-        return pd.concat([links, pd.DataFrame({"a": rep[left], "b": rep[right], "n": np.int64(0)})])
+        links = pd.DataFrame({"a": names[some], "b": names[some], "n": count[some]})
+        return pd.concat([links, pd.DataFrame({"a": names[left], "b": names[right], "n": np.int64(0)})])
 
-    seen = cut(full.groupBy("t", "cell", "dim", "tile_a", "tile_b").applyInPandas(compare, "a long, b long, n long"))
+    seen = cut(full.groupBy("dim", "g", "tile_a", "tile_b").applyInPandas(compare, "a long, b long, n long"))
     counts = seen.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(seen.where("n = 0"))
     classed = cut(
@@ -189,7 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     )
 
 
-def _root(parent: np.ndarray, i: int) -> int:
+def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
         i = parent[i]
