@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ class WordTokenizer:
     by the library as they are. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, cached_words: int = 1_000_000):
+    def __init__(self, path: str, cached_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,6 +72,12 @@ class WordTokenizer:
         ]
 
 
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per Python worker, whose cache of words serves all tasks that the worker runs."""
+    return WordTokenizer(path)
+
+
 class SumOfSquares:
     """Online packer: the level array counts the open windows at each fill.
 
@@ -150,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        tok, base = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        tok, base = shared_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4")
 
         def rows():
