@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from arboryx.llm import chat, e8, html, lm, mixing, packing, quality, queries, simhash, substring, topk
+from arboryx.llm import chat, e8, html, jaccard, lm, mixing, packing, quality, queries, simhash, substring, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("th", "er", "on", "in", "ed", "re") for b in ("a", "e", "ing", "ly", ".", "ó")]
@@ -499,6 +499,41 @@ def test_pipeline(spark, sf, tmp_path):
     assert docs.join(bad, "doc_id", "left_semi").select("doc_id").distinct().count() <= 0.2 * total
 
 
+def similarity(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_pipeline_drops_near_copies_of_similarity_08(spark, sf, monkeypatch, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    rng, texts, planted = random.Random(5), [], []
+    for i in range(80):
+        words = [rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(rng.choice([60, 200, 400]))]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, len(words) - 5), rng.randrange(1, 2 + len(words) // 40)):
+            words[at] = "Changed"
+        texts.append(" ".join(words))
+        planted.append(similarity(texts[-2], texts[-1]))
+    hub = [rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(300)]
+    texts += [" ".join(hub[:k] + ["other"] + hub[k + 1 :]) for k in range(10, 290, 14)]
+    assert sum(0.8 <= s < 0.95 for s in planted) > 20 and sum(s < 0.8 for s in planted) > 5
+    texts += ["", "", "a b", "A  b", "a b c"]
+    root = list(range(len(texts)))
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            if similarity(a, b) >= 0.8:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, texts[0], "en", "a", 0)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).where("doc_id is not null").collect())
+    assert kept == [i for i, r in enumerate(root) if i == r]
+    assert corpus_pipeline.one_of_near_copies(spark, docs, sf).where("doc_id is null").count() == 1
+
+
 def test_texts_hash_as_in_the_contract(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {r.doc_id: hashlib.sha256(removed([(x.doc_id, x.text) for x in rows])[r.doc_id][0][2].encode()).hexdigest() for r in rows[:1]}
