@@ -407,6 +407,18 @@ def test_lattice_dedup(spark, monkeypatch, cap):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_lattice_settings_find_pairs_at_the_threshold():
+    import inspect
+
+    given = {k: p.default for k, p in inspect.signature(e8.near_duplicates).parameters.items()}
+    rng, unit = np.random.default_rng(95), lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((4000, 64)))
+    y = rng.standard_normal((4000, 64))
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    tables = e8.Tables(64, given["tables"], given["probes"], given["scale"], given["seed"])
+    assert e8._meet(tables.cells(x), tables.cells(y)).any(axis=1).mean() > 0.975  # 5 tables of 5 probes: 0.970
+
+
 def test_e8_decoder():
     rng = np.random.default_rng(0)
     x = rng.uniform(-3, 3, (200, 8))
