@@ -17,7 +17,11 @@ from .topk import finite
 BLOCK_ROWS = 2048
 #: Cells of up to this many entries share a task with others, about BATCH_ROWS entries in all.
 SMALL_CELL = 64
-BATCH_ROWS = 20_000
+BATCH_ROWS = 2_000
+#: (most vectors, tables, E8 blocks of a table, scale of the projections). Measured in 64 dimensions with 8 probes: at
+#: the threshold of 0.95 a pair meets in some table with a probability above 0.95, and by chance a vector meets fewer
+#: than 7 others in each table up to the most vectors of a line; beyond the last line chance meetings grow.
+SETTINGS = ((100_000, 8, 1, 3.7), (1_000_000, 8, 2, 2.0), (10_000_000, 9, 3, 1.5), (40_000_000, 11, 4, 1.25), (400_000_000, 18, 6, 1.0))
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -46,34 +50,53 @@ def minimal_vectors() -> np.ndarray:
     return np.array(whole + half, np.int64)
 
 
+def setting(n: int) -> tuple[int, int, float]:
+    """(tables, blocks, scale) for ``n`` vectors; cells become finer as vectors become more."""
+    return next((x[1:] for x in SETTINGS if n <= x[0]), SETTINGS[-1][1:])
+
+
 class Tables:
-    """Several lattice hash tables over vectors of one length: a home cell and probed neighbours each."""
+    """Several lattice hash tables over vectors of one length: a home cell and probed neighbours each.
 
-    def __init__(self, dim: int, tables: int, probes: int, scale: float, seed: int):
+    A table projects into ``blocks`` times 8 dimensions at random and decodes each 8 to a point of E8;
+    the points together are the home cell. A neighbouring cell has a neighbouring point in one block.
+    """
+
+    def __init__(self, dim: int, tables: int, probes: int, blocks: int, scale: float, seed: int):
         rng = np.random.default_rng([seed, dim])
-        self.maps = rng.standard_normal((tables, dim, 8)) * (scale / np.sqrt(8))
-        self.shifts = rng.random((tables, 8)) * 2
+        self.maps = rng.standard_normal((tables, blocks, dim, 8)) * (scale / np.sqrt(8))
+        self.shifts = rng.random((tables, blocks, 8)) * 2
         self.mix = (rng.integers(0, 2**63, 8, dtype=np.int64) * 2 + 1).view(np.uint64)
-        self.tables, self.probes, self.around = tables, probes, minimal_vectors()
+        self.start = rng.integers(0, 2**63, blocks, dtype=np.int64).view(np.uint64)
+        self.tables, self.probes, self.blocks, self.around = tables, probes, blocks, minimal_vectors()
 
-    def _name(self, points: np.ndarray) -> np.ndarray:
-        h = np.zeros(points.shape[:-1], np.uint64)
+    def _name(self, points: np.ndarray, block) -> np.ndarray:
+        h = np.broadcast_to(self.start[block], points.shape[:-1]).copy()
         for i in range(8):
             h = (h ^ points[..., i].astype(np.uint64)) * self.mix[i]
             h ^= h >> np.uint64(29)
-        return h.view(np.int64)
+        return h
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """Names of cells, (n, tables, 1 + probes): the home cell, then the neighbours nearest to the vector."""
-        out = np.empty((len(unit), self.tables, 1 + self.probes), np.int64)
+        n, row = len(unit), np.arange(len(unit))[:, None]
+        out = np.empty((n, self.tables, 1 + self.probes), np.int64)
         for t in range(self.tables):
-            y = unit @ self.maps[t] + self.shifts[t]
-            home = decode(y)
-            out[:, t, 0] = self._name(home)
+            homes, names, leans = [], [], []
+            for j in range(self.blocks):
+                y = unit @ self.maps[t, j] + self.shifts[t, j]
+                home = decode(y)
+                homes.append(home)
+                names.append(self._name(home, j))
+                leans.append((2 * y - home) @ self.around.T)  # all neighbours are equally long: the nearest has the largest product
+            whole = np.add.reduce(names)
+            out[:, t, 0] = whole.view(np.int64)
             if self.probes:
-                lean = (2 * y - home) @ self.around.T  # all neighbours are equally long: the nearest has the largest product
-                near = np.argpartition(-lean, self.probes - 1, axis=1)[:, : self.probes]
-                out[:, t, 1:] = self._name(home[:, None, :] + self.around[near])
+                near = np.argpartition(-np.concatenate(leans, axis=1), self.probes - 1, axis=1)[:, : self.probes]
+                block, step = np.divmod(near, len(self.around))
+                points = np.stack(homes, axis=1)[row, block] + self.around[step]
+                other = whole[:, None] - np.stack(names, axis=1)[row, block] + self._name(points, block)
+                out[:, t, 1:] = other.view(np.int64)
         return out
 
 
@@ -103,7 +126,7 @@ def _in_large(group: np.ndarray, unit: np.ndarray, threshold: float):
                 yield at + i[ahead][part : part + 50_000], at + j[ahead][part : part + 50_000]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8, probes: int = 8, scale: float = 3.7, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | None = None, blocks: int | None = None, scale: float | None = None, probes: int = 8, seed: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine at least ``threshold`` that meet in a lattice cell of some table.
 
     Returns one row per row of ``vectors``: (id, n_links long, component_id, kept boolean). Every
@@ -114,15 +137,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     give each vector's count and a spanning forest of the links they saw. Equal vectors are one
     entry with a weight, so copies of a vector cost no pairs; cells of more than BLOCK_ROWS entries
     are split into pairs of blocks. ``n_links`` never counts below the threshold; how many of all links are found is
-    a matter of ``tables``, ``probes`` and ``scale``, and measured in the tests.
+    a matter of ``tables``, ``blocks``, ``scale`` (by default those of SETTINGS for the number of different
+    vectors) and ``probes``, and measured in the tests.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and
-    vectors of different lengths do not link. Repeated ids with equal vectors link with each other.
+    vectors of different lengths do not link. Repeated ids with equal vectors link with each other. A
+    row without an id links like any other, but names no component: one of only such rows is null, and
+    its rows are kept; in a component with an id they are not. An empty table gives no row; extra
+    columns are not looked at.
     """
     rows = cut(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x")))
     good = rows.where(finite(F.col("x")) & F.exists("x", lambda v: v != 0))
     entries = cut(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     entries = entries.withColumn("rep", F.monotonically_increasing_id())  # a checkpoint's numbering holds
+    usual = setting(entries.count())
+    shape = tuple(given if given is not None else x for given, x in zip((tables, blocks, scale), usual))
+    tables = shape[0]
+
+    def tables_of(dim: int) -> Tables:
+        return Tables(dim, shape[0], probes, shape[1], shape[2], seed)
 
     def unit(x: pd.Series) -> np.ndarray:
         a = np.stack(x.to_numpy()).astype(np.float64)
@@ -132,7 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     def place(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["x"].map(len)):
-                cells = Tables(dim, tables, probes, scale, seed).cells(unit(part["x"]))
+                cells = tables_of(dim).cells(unit(part["x"]))
                 n, per = len(part), tables * (1 + probes)
                 again = np.repeat(np.arange(n), per)
                 yield pd.DataFrame({
@@ -144,7 +177,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
                 })
 
     # cells are named first without the vectors, so that only shared cells carry them
-    named = entries.select("rep", "x").mapInPandas(place, f"t int, cell long, home boolean, dim int, rep long")
+    named = entries.select("rep", "x").mapInPandas(place, "t int, cell long, home boolean, dim int, rep long")
     keyed = cut(named)
     shared = cut(keyed.groupBy("t", "cell", "dim").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home"))
     batches = math.ceil((shared.where(F.col("n") <= SMALL_CELL).agg(F.sum("n")).first()[0] or 1) / BATCH_ROWS)
@@ -160,7 +193,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
         t, cell, rep, home, block, weight = (pdf[c].to_numpy() for c in ("t", "cell", "rep", "home", "block", "weight"))
         u, crossing = unit(pdf["x"]), pdf["tile_a"].iloc[0] != pdf["tile_b"].iloc[0]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (cell[1:] != cell[:-1])])
-        group, tab = np.cumsum(new), Tables(u.shape[1], tables, probes, scale, seed)
+        group, tab = np.cumsum(new), tables_of(u.shape[1])
         names, node = np.unique(rep, return_inverse=True)
         count, parent, left, right = np.zeros(len(names), np.int64), list(range(len(names))), [], []
         for i, j in _in_small(group) if pdf["tile_a"].iloc[0] < 0 else _in_large(group, u, threshold):
@@ -206,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8
     joined = rows.withColumn("x", F.when(usable, F.col("x"))).alias("l").join(classes.alias("r"), F.col("l.x") == F.col("r.x"), "left")
     component = F.coalesce("component_id", "id")
     return joined.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
 
 

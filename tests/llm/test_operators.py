@@ -407,16 +407,37 @@ def test_lattice_dedup(spark, monkeypatch, cap):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def test_lattice_settings_find_pairs_at_the_threshold():
-    import inspect
-
-    given = {k: p.default for k, p in inspect.signature(e8.near_duplicates).parameters.items()}
+def pairs_at(cosine, n, dim=64):
     rng, unit = np.random.default_rng(95), lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
-    x = unit(rng.standard_normal((4000, 64)))
-    y = rng.standard_normal((4000, 64))
-    y = 0.95 * x + math.sqrt(1 - 0.95**2) * unit(y - (y * x).sum(axis=1, keepdims=True) * x)
-    tables = e8.Tables(64, given["tables"], given["probes"], given["scale"], given["seed"])
-    assert e8._meet(tables.cells(x), tables.cells(y)).any(axis=1).mean() > 0.975  # 5 tables of 5 probes: 0.970
+    x = unit(rng.standard_normal((n, dim)))
+    y = rng.standard_normal((n, dim))
+    return x, cosine * x + math.sqrt(1 - cosine**2) * unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+
+
+@pytest.mark.parametrize("line", e8.SETTINGS)
+def test_lattice_settings_find_pairs_at_the_threshold(line):
+    n, tables, blocks, scale = line
+    assert e8.setting(n) == (tables, blocks, scale)
+    x, y = pairs_at(0.95, 3000)
+    made = e8.Tables(64, tables, 8, blocks, scale, 8)
+    assert e8._meet(made.cells(x), made.cells(y)).any(axis=1).mean() > 0.95
+
+
+def test_lattice_cells_grow_with_the_vectors():
+    x, y = pairs_at(0.0, 30000)
+    for n, tables, blocks, scale in e8.SETTINGS[:2]:  # finer ones meet too seldom to be measured on so few
+        home = e8.Tables(64, 1, 8, blocks, scale, 8).cells(np.concatenate([x, y]))[:, 0]
+        names, count = np.unique(home[:, 0], return_counts=True)
+        met = sum(count[np.searchsorted(names, home[np.isin(home[:, k], names), k])].sum() for k in range(9)) - len(home)
+        assert 2 * met / len(home) ** 2 * n < 10
+
+
+def test_lattice_rows_without_ids(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [0.0, 1.0]), (4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in e8.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 1, None, True)] * 2 + [(3, 1, 3, True), (None, 1, 3, False), (4, 0, 4, True)], key=str)
+    assert e8.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_e8_decoder():
