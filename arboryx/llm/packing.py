@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
+#: Fill levels that partially filled windows are told apart by; few, so that few windows are open at a time.
+LEVELS = 16
 
 #: The alphabet in which the tokenizer's normaliser changes nothing but case, and its splitting pattern.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*+")
@@ -79,67 +81,105 @@ def shared_tokenizer(path: str) -> WordTokenizer:
 
 
 class SumOfSquares:
-    """Online packer: the level array counts the open windows at each fill.
+    """Online packer: the level array counts the partially filled windows of each fill level.
 
-    An item goes to the level whose choice makes the sum of squared counts smallest (ties: the
-    fullest level, so that windows close early; a new window counts as level 0). It yields closed
-    windows as lists of items.
+    A document goes to the level whose choice makes the sum of squared counts smallest (ties: the
+    fullest level, so that windows close early; an empty window may be opened, and is not counted).
+    Levels are ``window / levels`` ids wide. A document may reach over the window's end by less than a
+    level: it is cut there, and what is over is placed by the same rule. So windows close full.
     """
 
-    def __init__(self, window: int):
-        self.window = window
-        self.level = np.zeros(window + 1, np.int64)  # [0] stays 0: empty windows are not counted, nor are full ones
-        self.open: dict[int, list[list]] = {}
-
-    def add(self, item, length: int):
-        w, n = self.window, self.level
-        fills = np.concatenate([[0], np.flatnonzero(n[1 : w - length + 1]) + 1])
-        after = fills + length
-        change = np.where(after < w, 2 * n[np.minimum(after, w)] + 1, 0) - np.where(fills > 0, 2 * n[fills] - 1, 0)
-        best = int(fills[len(fills) - 1 - int(np.argmin(change[::-1]))])
-        items = self.open[best].pop() if best else []
-        if best:
-            n[best] -= 1
-        items.append((item, length))
-        if best + length == w:
-            return items
-        n[best + length] += 1
-        self.open.setdefault(best + length, []).append(items)
-        return None
-
-    def rest(self) -> list[list]:
-        return [items for fill in sorted(self.open, reverse=True) for items in self.open[fill]]
+    def __init__(self, window: int, levels: int = LEVELS):
+        self.window, self.width = window, max(1, window // levels)
+        self.counts = [0] * (window // self.width + 1)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in self.counts]
+
+    def choose(self, length: int, reach: int, fresh: bool) -> int | None:
+        """The best level for ``length`` more ids, which may reach over the end by less than ``reach``; -1 opens a window."""
+        best, least = None, 0
+        for level in range(len(self.counts) - 1, -1, -1):
+            if self.counts[level] and (fill := self.open[level][-1][0] + length) < self.window + reach:
+                change = self._change(level, fill)
+                if best is None or change < least:
+                    best, least = level, change
+        if fresh and (best is None or self._change(-1, length) < least):
+            best = -1
+        return best
+
+    def _change(self, level: int, fill: int) -> int:
+        """By how much the sum of squares changes if a window of ``level`` (-1: an empty one) comes to ``fill``."""
+        to = fill // self.width if fill < self.window else -1
+        if to == level:
+            return 0
+        return (2 * self.counts[to] + 1 if to >= 0 else 0) - (2 * self.counts[level] - 1 if level >= 0 else 0)
+
+    def take(self, level: int) -> tuple[int, list]:
+        self.counts[level] -= 1
+        return self.open[level].pop()
+
+    def put(self, fill: int, pieces: list) -> None:
+        self.counts[fill // self.width] += 1
+        self.open[fill // self.width].append((fill, pieces))
+
+    def add(self, doc, start: int, ids: np.ndarray, n: int, ending: bool = False) -> Iterator[list]:
+        """Places one piece and yields windows that it fills, as lists of pieces (doc, start, ids, n).
+
+        At the end of the input (``ending``) no window is opened while another is open, and where none
+        has room a piece may be cut anywhere.
+        """
+        while len(ids):
+            level = self.choose(len(ids), self.width, not ending)
+            if level is None:
+                level = self.choose(len(ids), len(ids) + 1, False)
+            fill, pieces = (0, []) if level is None or level < 0 else self.take(level)
+            here = ids[: self.window - fill]
+            pieces.append((doc, start, here, n))
+            start, ids, fill = start + len(here), ids[len(here) :], fill + len(here)
+            if fill == self.window:
+                yield pieces
+            else:
+                self.put(fill, pieces)
+
+    def finish(self) -> Iterator[list]:
+        """Ends the input: the emptiest windows are dissolved into the others by the same rule, until one is left,
+        which is cut at powers of two."""
+        while sum(self.counts) > 1:
+            level = next(i for i, c in enumerate(self.counts) if c)
+            for piece in self.take(level)[1]:
+                yield from self.add(*piece, ending=True)
+        for level, count in enumerate(self.counts):
+            if count:
+                fill, pieces = self.take(level)
+                yield from _cut_at_powers(fill, pieces)
+
+
+def _cut_at_powers(total: int, pieces: list) -> Iterator[list]:
+    """A short window as sequences whose lengths are powers of two, which need no padding."""
+    sizes = [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
+    now, free = [], sizes.pop(0)
+    for doc, start, ids, n in pieces:
+        while len(ids):
+            here = ids[:free]
+            now.append((doc, start, here, n))
+            start, ids, free = start + len(here), ids[len(here) :], free - len(here)
+            if not free:
+                yield now
+                now, free = [], sizes.pop(0) if sizes else 0
 
 
 def pack(docs: Iterator[tuple[object, np.ndarray]], window: int = WINDOW) -> Iterator[list[tuple[object, int, np.ndarray, int]]]:
     """Sequences as lists of pieces (doc, start, ids, doc_tokens).
 
     Whole windows are cut from the front of documents longer than a window; the remainder is placed
-    by the sum-of-squares rule. When the input ends, the windows still open are joined end to end
-    and cut anew at full windows; the last, short one is cut at powers of two, which need no padding.
+    by the sum-of-squares rule.
     """
     packer = SumOfSquares(window)
     for doc, ids in docs:
         whole = len(ids) // window * window
         for at in range(0, whole, window):
             yield [(doc, at, ids[at : at + window], len(ids))]
-        if whole < len(ids):
-            closed = packer.add((doc, whole, ids[whole:].copy(), len(ids)), len(ids) - whole)
-            if closed:
-                yield [item for item, _ in closed]
-    left = [item for items in packer.rest() for item, _ in items]
-    total = sum(len(ids) for _, _, ids, _ in left)
-    sizes = [window] * (total // window) + [1 << b for b in range(window.bit_length(), -1, -1) if total % window >> b & 1]
-    room, now = iter(sizes), []
-    free = next(room, 0)
-    for doc, start, ids, n in left:
-        while len(ids):
-            now.append((doc, start, ids[:free], n))
-            start, taken = start + len(ids[:free]), len(ids[:free])
-            ids, free = ids[taken:], free - taken
-            if not free:
-                yield now
-                now, free = [], next(room, 0)
+        yield from packer.add(doc, whole, ids[whole:].copy(), len(ids))
+    yield from packer.finish()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -148,10 +188,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Returns per piece (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids binary]).
     Each input partition packs its own rows as they come, so nothing is shuffled, and only the
     pieces of its open windows are held. sequence_id numbers sequences inside the partition and
-    carries the partition's number in its upper bits; a rerun over the same files agrees.
+    carries the partition's number in its upper bits: a rerun over the same files and split size agrees,
+    another split of the input packs and numbers anew.
 
     Null texts count as empty: their document is the end id alone. Repeated rows are packed once
-    each. An empty table gives no row. Extra columns are not looked at.
+    each, rows without an id like any other. A very long text fills windows of its own. An empty table
+    gives no row. Extra columns are not looked at.
     """
     kind = dict(docs.dtypes)[id_col]
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
