@@ -277,10 +277,72 @@ def test_html():
     assert show("<div>" * 3000 + "deep") == "deep" and show("<table>" * 60 + "x") == "x"
 
 
+def test_html_attributes_lists_and_styles():
+    show = lambda s: html.render(html.parse(s))
+    assert show("<p title=it's>I don't know</p><p>x</p>") == "I don't know\n\nx"
+    assert show('<a href="foo>text</a>') == "text" and show("<p a='>' b=\"<b>\" =c/>x<br/ q>y") == "x\ny"
+    assert show("<ul><li><p>x</p><p>y</p><li>z</ul>") == "- x\n\n  y\n\n- z"
+    assert show("<ol start=0><li>a<li value=5>b<li>c</ol>") == "0. a\n5. b\n6. c" and show("<ol start=-1><li>a<li>b</ol>") == "-1. a\n0. b"
+    assert show("<ol reversed><li>a<li>b</ol>") == "2. a\n1. b" and show("<ol start=99999999999999999999><li>a</ol>")[-1] == "a"
+    css = "<style>.h{display:none} @media print{p{display:none}} #k.z , b {visibility:hidden} p.w{display:block!important} .w{display:none}</style>"
+    assert show(css + "<p class='h x'>no</p><p>yes<b>no<i style='visibility:visible'>seen</i></b></p><p class=w>w</p><p id=k>k</p>") == "yesseen\n\nw\n\nk"
+    assert show("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>") == "s\nt\nyes"
+    assert show("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span></div>") == "b"
+
+
+def test_html_tables_keep_all_text():
+    show = lambda s: html.render(html.parse(s))
+    assert show("<table><tr>stray<td>a<td>b</tr>loose<tbody>more<tr><form><td>c<td>d</form></table>") == "strayloosemore\n\na | b\nc | d"
+    assert show("<table><caption>cap</caption><tr><td><table><tr><td>1<td>2<tr><td>33<td>4</table><td>r</table>") == "cap\n1  | 2 | r\n33 | 4"
+    assert show("<table><tfoot><tr><td>f<thead><tr><td>h<tbody><tr><td>b</table>") == "h\nb\nf"
+    wide = "w " * 100
+    assert show(f"<table><tr><td>{wide}<td>q<tr><td>a<td>b</table>") == f"{wide.strip()} | q\na | b"
+    assert show("<table>" + "<tr><td>a<td>b" * 2 + "<tr>" + "<td>x" * 500 + "</table>").count("x") == 500
+
+
+TAGS = "div p b ul ol li table tr td th tbody thead tfoot caption form pre h1 h2 a span dl dt dd blockquote section br hr select option q button center".split()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_shows_every_word_of_any_soup_once(seed):
+    rng, words, page = random.Random(seed), [], []
+    for _ in range(300):
+        kind = rng.random()
+        if kind < 0.4:
+            words.append(f"w{len(words)}z")
+            page.append(rng.choice(["{} ", " {} ", " {}\n"]).format(words[-1]))
+        else:
+            page.append(("<{}>" if kind < 0.75 else "</{}>").format(rng.choice(TAGS)))
+    shown = html.render(html.parse("".join(page)))
+    assert sorted(__import__("re").findall(r"w\d+z", shown)) == sorted(words)
+
+
+SHAPES = {
+    "open divs": "<div>" * 20000 + "</p>" * 20000,
+    "long cell": "<table><tr><td>" + "w " * 20000 + "<td>q</tr>" + "<tr><td>a<td>b" * 500 + "</table>",
+    "tables": "<table><tr><td>a<td>" * 10000,
+    "fenced": "<p><table><tr><td>" + "<div>" * 30000 + "</p>" * 30000,
+    "quotes": "<a b=\"'" * 30000,
+    "signs": "<" * 200000,
+    "spans": "<table><tr>" + "<td rowspan=60000>x" * 5000 + "<tr><td>y" * 5000,
+    "items": "<ul>" * 250 + "<li>x" * 20000,
+    "long text": "word " * 400000,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_html_is_linear(shape):
+    import time
+
+    began = time.process_time()
+    shown = html.render(html.parse(SHAPES[shape]))
+    assert time.process_time() - began < 8 and len(shown) < 2 * len(SHAPES[shape]) + 2_000_000
+
+
 def test_html_frame(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (1, "u", "<p>a"), (3, "", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = sorted(map(tuple, html.extract(pages).collect()))
-    assert got == [(1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0), (3, "", 0, 0)]
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (1, "u", "<p>a"), (3, "", ""), (None, "", "x")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = sorted(map(tuple, html.extract(pages).collect()), key=str)
+    assert got == [(1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0), (3, "", 0, 0), (None, "x", 1, 1)]
     assert html.extract(pages.limit(0)).count() == 0
 
 
