@@ -1,11 +1,18 @@
-"""Language-model scores: corpus word counts over a lattice of subword pieces.
-
-A word's lattice holds every way to cut it into pieces of an existing vocabulary (the file's pieces
-and the 256 single bytes); the marginal probability sums over all of them by a forward recursion in
-log space. Piece probabilities start from the vocabulary's own scores and take ROUNDS steps of
-expectation-maximisation over the distinct words of the training documents. Known words also have
-their discounted counts: P(w) = max(c - d, 0) / N + d * V / N * lattice(w). Along a text the counts of
-its own words so far count as well: P(w | i words before, m of them w) = (m + K P(w)) / (i + K).
+"""Language-model scores: the marginal probability of a document over a lattice of all its segmentations.
+
+The lattice has three kinds of arcs. Pieces of an existing vocabulary (and the 256 single bytes) spell
+words; their probabilities start from the vocabulary's own scores and take ROUNDS steps of
+expectation-maximisation over the distinct words of the training documents, each once, as in
+continuation counts. Whole words of the training documents are arcs beside their spellings, and so are whole
+phrases that another training document has: texts are cut into phrases where a hash of
+neighbouring words says so, so that copies are cut alike. With the training counts c of words (N tokens, V
+distinct, discount d) and of phrases (M of them)
+
+    P(word)    = max(c - d, 0) / N + d * V / N * sum over its spellings
+    P(segment) = (1 - BETA)^length * product of P(word) + BETA * max(c - DISCOUNT, 0) / M
+
+A training document's own phrases do not count for itself. A text's score is the product over its segments;
+all sums run in log space. Over all texts the probabilities do not sum to more than one.
 """
 
 from __future__ import annotations
@@ -19,17 +26,21 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import cut
+from ..lineage import cut
 
 CHUNK_BYTES = 6 << 20
 #: Words longer than this (in bytes) go through the lattice one by one.
 LONG_WORD = 48
 #: Share of the lattice's mass on the end of a text.
 END_SHARE = 1e-3
-#: Steps of expectation-maximisation, and the weight K of the corpus against a text's own words.
+#: Steps of expectation-maximisation.
 ROUNDS = 2
-OWN_WORDS = 2000
+#: Weight and discount of the phrase arcs, and the mean number of words of a phrase.
+BETA = 0.02
+DISCOUNT = 0.8
+PHRASE_WORDS = 16
 START = "▁".encode()
 STOP = 0  # the piece number of the end of a word
 
@@ -42,57 +53,71 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.pieces, self.logp = pieces, logp
         self.number = {p: i for i, p in enumerate(pieces) if i != STOP}
-        by_length: dict[int, list[int]] = {}
+        self.longest = max(map(len, self.number))
+        # all beginnings of pieces by length, with the piece's number where one ends there, 0 elsewhere
+        begun: dict[int, dict[bytes, int]] = {n: {} for n in range(1, self.longest + 1)}
         for p, i in self.number.items():
-            by_length.setdefault(len(p), []).append(i)
-        self.longest = max(by_length)
-        self.by_length = {}
-        for n, some in by_length.items():
-            h = self._hash(np.frombuffer(b"".join(pieces[i] for i in some), np.uint8).reshape(-1, n))
+            for n in range(1, len(p)):
+                begun[n].setdefault(p[:n], 0)
+            begun[len(p)][p] = i
+        self.begun = {}
+        for n, some in begun.items():
+            h = self._hash(np.frombuffer(b"".join(some), np.uint8).reshape(-1, n))
             order = np.argsort(h)
-            self.by_length[n] = (h[order], np.array(some)[order])
+            self.begun[n] = h[order], np.fromiter(some.values(), np.int64, len(some))[order]
+
+    def _step(self, h: np.ndarray, octet: np.ndarray) -> np.ndarray:
+        h = (h + octet.astype(np.uint64) + np.uint64(1)) * self._BASE
+        return h ^ (h >> np.uint64(31))
 
     def _hash(self, rows: np.ndarray) -> np.ndarray:
         h = np.full(len(rows), 7, np.uint64)
         for i in range(rows.shape[1]):
-            h = (h + rows[:, i].astype(np.uint64) + np.uint64(1)) * self._BASE
-            h ^= h >> np.uint64(31)
+            h = self._step(h, rows[:, i])
         return h
 
     def _arcs(self, rows: np.ndarray):
-        """For words of one length: {(start, end): piece numbers, 0 where no piece spells that part}."""
-        n, arcs = rows.shape[1], {}
+        """For words of one length: (start, end, words, piece numbers) of the arcs, by end and start."""
+        n, arcs = rows.shape[1], []
         for start in range(n):
-            h = np.full(len(rows), 7, np.uint64)
+            h, alive = np.full(len(rows), 7, np.uint64), np.arange(len(rows))
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = (h + rows[:, end - 1].astype(np.uint64) + np.uint64(1)) * self._BASE
-                h ^= h >> np.uint64(31)
-                if end - start in self.by_length:
-                    known, numbers = self.by_length[end - start]
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    found = np.where(known[at] == h, numbers[at], 0)
-                    if found.any():
-                        arcs[start, end] = found
-        return arcs
-
-    def _sweep(self, rows: np.ndarray, logp: np.ndarray):
+                h = self._step(h, rows[alive, end - 1])
+                known, numbers = self.begun[end - start]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                some = np.flatnonzero(known[at] == h)
+                if not len(some):
+                    break
+                h, alive, found = h[some], alive[some], numbers[at[some]]
+                ends = np.flatnonzero(found)
+                if len(ends):
+                    arcs.append((start, end, alive[ends], found[ends]))
+        return sorted(arcs, key=lambda a: a[1::-1])
+
+    def _sweep(self, rows: np.ndarray):
         """Forward log sums at each position, and the arcs."""
         arcs, n = self._arcs(rows), rows.shape[1]
         ahead = np.full((n + 1, len(rows)), -np.inf)
         ahead[0] = 0
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if (start, end) in arcs:
-                    ahead[end] = np.logaddexp(ahead[end], ahead[start] + logp[arcs[start, end]])
+        for start, end, some, piece in arcs:
+            ahead[end, some] = np.logaddexp(ahead[end, some], ahead[start, some] + self.logp[piece])
         return ahead, arcs
 
-    def _one(self, word: bytes) -> float:
-        ahead = [0.0] + [-math.inf] * len(word)
-        get, logp = self.number.get, self.logp
+    def _one(self, word: bytes, total: np.ndarray | None = None) -> float:
+        """The forward sum of one word; adds its pieces' expected uses to ``total``."""
+        ahead, get, logp = [0.0] + [-math.inf] * len(word), self.number.get, self.logp.tolist()
+        arcs = []
         for end in range(1, len(word) + 1):
-            some = [ahead[s] + logp[i] for s in range(max(0, end - self.longest), end) if (i := get(word[s:end])) is not None]
-            top = max(some)
-            ahead[end] = top + math.log(sum(math.exp(x - top) for x in some))
+            some = [(s, i) for s in range(max(0, end - self.longest), end) if (i := get(word[s:end])) is not None]
+            ahead[end] = _log_sum([ahead[s] + logp[i] for s, i in some])
+            arcs.append(some)
+        if total is not None:
+            back = [-math.inf] * len(word) + [0.0]
+            for end in range(len(word), 0, -1):
+                for s, i in arcs[end - 1]:
+                    along = logp[i] + back[end]
+                    back[s] = _log_sum([back[s], along])
+                    total[i] += math.exp(ahead[s] + along - ahead[-1])
         return ahead[-1]
 
     @staticmethod
@@ -108,36 +133,38 @@ class Lattice:
         """Natural log of each word's probability, all segmentations summed."""
         spelt = [START + w.encode() for w in words]
         out = np.empty(len(spelt))
-        no_arc = self.logp.copy()
-        no_arc[STOP] = -np.inf
         for at, rows in self._by_length(spelt):
-            out[at] = self._sweep(rows, no_arc)[0][-1]
+            out[at] = self._sweep(rows)[0][-1]
         for i, w in enumerate(spelt):
             if len(w) > LONG_WORD:
                 out[i] = self._one(w)
         return out + self.logp[STOP]
 
     def expected(self, words: list[str]) -> np.ndarray:
-        """Expected number of uses of each piece, words up to LONG_WORD bytes, each word once."""
-        total, no_arc = np.zeros(len(self.pieces)), self.logp.copy()
-        no_arc[STOP] = -np.inf
-        spelt = [w for w in (START + x.encode() for x in words) if len(w) <= LONG_WORD]
+        """Expected number of uses of each piece, each word once."""
+        total = np.zeros(len(self.pieces))
+        spelt = [START + w.encode() for w in words]
         for _, rows in self._by_length(spelt):
-            ahead, arcs = self._sweep(rows, no_arc)
+            ahead, arcs = self._sweep(rows)
             n = rows.shape[1]
             back = np.full((n + 1, len(rows)), -np.inf)
             back[n] = 0
-            for start in range(n - 1, -1, -1):
-                for end in range(start + 1, min(n, start + self.longest) + 1):
-                    if (start, end) in arcs:
-                        back[start] = np.logaddexp(back[start], back[end] + no_arc[arcs[start, end]])
-            for (start, end), piece in arcs.items():
-                share = np.exp(ahead[start] + no_arc[piece] + back[end] - ahead[n])
-                total += np.bincount(piece, share, len(total))
+            for start, end, some, piece in reversed(arcs):
+                along = self.logp[piece] + back[end, some]
+                back[start, some] = np.logaddexp(back[start, some], along)
+                total += np.bincount(piece, np.exp(ahead[start, some] + along - ahead[n, some]), len(total))
+        for w in spelt:
+            if len(w) > LONG_WORD:
+                self._one(w, total)
         total[STOP] = len(spelt)
         return total
 
 
+def _log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum(math.exp(v - top) for v in x)) if top > -math.inf else top
+
+
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a SentencePiece file and log probabilities from its scores.
 
@@ -165,32 +192,57 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, out - np.logaddexp.reduce(out)
 
 
-def _earlier(keys: np.ndarray) -> np.ndarray:
-    """How often each key stands earlier in the array."""
-    by = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])[: len(keys)]
-    out = np.empty(len(keys), np.int64)
-    out[by] = np.arange(len(keys)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return out
+def phrases(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the phrases of some documents, and 64-bit names of the phrases, from hashes of the words.
+
+    A phrase ends where a hash of the words on both sides says so (once in PHRASE_WORDS on average) and with the document.
+    """
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    sides = (words[:-1] * np.uint64(31) + words[1:]) * Lattice._BASE
+    new = np.concatenate([[True], (sides >> np.uint64(33)) % np.uint64(PHRASE_WORDS) == 0])
+    new[1:] |= doc[1:] != doc[:-1]
+    first = np.flatnonzero(new)
+    place = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(place.max()), Lattice._BASE)]))
+    name = np.add.reduceat((words ^ (words >> np.uint64(29))) * powers[place], first)
+    return first, name ^ (name >> np.uint64(32))
 
 
-_NAMES = ["chunk", "ids", "held", "sizes", "tokens", "words", "train"]
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: all lowest bytes, then all second ones, and so on."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+_NAMES = ["chunk", "ids", "held", "sizes", "tokens", "words", "train", "phrases", "phrase_train", "phrase_uses"]
 
 
 def _chunks(batches):
     """Documents as numbers of their chunk's own words: one row per CHUNK_BYTES of text."""
-    squeeze, base, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32, 0
+    base, number = TaskContext.get().partitionId() << 32, 0
 
     def made(ids, held, parts):
         own: dict[bytes, int] = {}
         tokens = [np.fromiter([own.setdefault(w, len(own)) for w in p], np.uint32, len(p)) for p in parts]
         sizes = np.array([len(t) for t in tokens], "<u4")
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint32)
-        learnt = flat[np.repeat(~np.array(held, bool), sizes)]
-        train = np.bincount(learnt, minlength=len(own)).astype("<u4")
-        cells = [base + number, ids, np.array(held, np.uint8).tobytes(), sizes.tobytes(), squeeze(flat.astype("<u4").tobytes()), squeeze(b"\n".join(own)), squeeze(train.tobytes())]
-        kinds = [pa.int64(), None, *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) if k else pa.array([c], pa.list_(pa.int64())) for c, k in zip(cells, kinds)], names=_NAMES)
+        flat, trains = np.concatenate(tokens), ~np.array(held, bool)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        train = np.bincount(flat[trains[doc]], minlength=len(own))
+        hashes = np.fromiter((xxh64_intdigest(w, 7) for w in own), np.uint64, len(own))
+        first, name = phrases(hashes[flat], doc)
+        long = np.flatnonzero(np.diff(np.append(first, len(flat))) > 1)
+        names, at = np.unique(name[long], return_inverse=True)
+        seen = np.bincount(at, trains[doc[first[long]]], len(names)).astype(np.int64)
+        cells = [
+            base + number, ids, np.array(held, np.uint8).tobytes(), sizes.tobytes(), _planes(flat),
+            zstandard.compress(b"\n".join(own), 3), _planes(train), names.astype("<u8").tobytes(), _planes(seen), _planes(np.bincount(at, minlength=len(names))),
+        ]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=_NAMES)
 
     ids, held, parts, size = [], [], [], 0
     for batch in batches:
@@ -209,13 +261,12 @@ def _chunks(batches):
 
 def _chunk_words(batches):
     """(chunk, at, word, train) rows of chunks."""
-    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for chunk, words, train in zip(*(batch.column(c) for c in range(3))):
-            some = expand(words.as_py()).decode().split("\n")
-            n = np.frombuffer(expand(train.as_py()), "<u4").astype(np.int64)
+            n = _numbers(train.as_py()).astype(np.int64)
             if not len(n):
                 continue
+            some = zstandard.decompress(words.as_py()).decode().split("\n")
             for lo in range(0, len(some), 10000):
                 part, m = some[lo : lo + 10000], n[lo : lo + 10000]
                 yield pa.RecordBatch.from_arrays(
@@ -224,22 +275,50 @@ def _chunk_words(batches):
                 )
 
 
+def _chunk_phrases(batches):
+    """(chunk, phrase, train, uses) rows of chunks."""
+    for batch in batches:
+        for chunk, names, train, uses in zip(*(batch.column(c) for c in range(4))):
+            some, n, m = np.frombuffer(names.as_py(), "<i8"), _numbers(train.as_py()).astype(np.int32), _numbers(uses.as_py()).astype(np.int32)
+            for lo in range(0, len(some), 10000):
+                part = slice(lo, lo + 10000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[part]), chunk.as_py())), *(pa.array(x[part]) for x in (some, n, m))], names=["chunk", "phrase", "train", "uses"])
+
+
+def _own_uses(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """How often each phrase's document has it."""
+    by = np.lexsort([name, doc])
+    new = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (name[by][1:] != name[by][:-1])])[: len(by)]
+    group = np.cumsum(new) - 1
+    out = np.empty(len(by), np.int64)
+    out[by] = np.bincount(group)[group]
+    return out
+
+
 def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents by a model of those that ``held_out`` does not name.
 
-    Returns per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), both scores
+    Returns per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score, piece_score), scores
     in log10. A-Z are lower-cased; tokens are the words and one end. ``base_score`` smooths counts by
-    0.1 each; ``score`` is the lattice model of this module. Null texts are empty (the end alone),
-    repeated rows are scored, and learnt from, once each. The word table is as large as the corpus
-    makes it and stays in Spark; only five numbers and a count for each of the vocabulary's pieces
-    reach the driver. A null ``held_out`` counts as not held out.
+    0.1 each; ``score`` is the marginal over the whole lattice of this module, ``piece_score`` the one
+    over pieces alone. The tables of words and phrases grow with the corpus and stay in Spark; only a few
+    numbers and a count for each of the vocabulary's pieces reach the driver. Phrases are told apart by 64 bits.
+
+    Null texts are empty (the end alone), repeated rows are scored, and learnt from, once each; rows
+    without an id are scored too. A null ``held_out`` counts as not held out. Without any training
+    document pieces alone score, and ``base_score`` is that of equal chances. An empty table gives no
+    row; extra columns are not looked at.
     """
     pieces, logp = vocabulary(vocabulary_path)
     held = F.coalesce(held_out, F.lit(False)).alias("held")
-    schema = "chunk long, ids array<long>, held binary, sizes binary, tokens binary, words binary, train binary"
+    schema = "chunk long, ids array<long>, " + ", ".join(f"{c} binary" for c in _NAMES[2:])
     chunks = cut(docs.select(F.col(id_col).cast("long"), held, text_col).mapInArrow(_chunks, schema))
     rows = chunks.select("chunk", "words", "train").mapInArrow(_chunk_words, "chunk long, at int, word string, train long")
     totals = cut(rows.groupBy("word").agg(F.sum("train").alias("c")))
+    spoken = chunks.select("chunk", "phrases", "phrase_train", "phrase_uses").mapInArrow(_chunk_phrases, "chunk long, phrase long, train int, uses int")
+    # a phrase that stands in one place alone is an arc of no document
+    said = cut(spoken.groupBy("phrase").agg(F.sum("train").alias("c"), F.sum("uses").alias("uses")).where("c > 0 and uses > 1").select("phrase", "c"))
+    all_said = spoken.agg(F.sum("train")).first()[0] or 1
 
     start = np.exp(logp)
     weights, learnt = 10.0, logp
@@ -271,38 +350,56 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str =
             yield pd.DataFrame({"word": pdf["word"], "c": pdf["c"], "lat": lattice.marginals(pdf["word"].tolist())})
 
     weighed = totals.mapInPandas(lattices, "word string, c long, lat double")
-    answers = rows.select("chunk", "at", "word").join(weighed, "word").select("chunk", "at", "c", "lat")
-    payload = chunks.select("chunk", "ids", "held", "sizes", "tokens")
+    # words of a chunk by their place in it, phrases (place -1) by their names; no nulls, which would make names inexact
+    answers = rows.select("chunk", "at", "word").join(weighed, "word").select("chunk", "at", "c", "lat", F.lit(0).cast("long").alias("phrase"))
+    answers = answers.union(spoken.select("chunk", "phrase").join(said, "phrase").select("chunk", F.lit(-1), "c", F.lit(0.0), "phrase"))
+    payload = chunks.select("chunk", "ids", "held", "sizes", "tokens", "words")
 
-    def model(c: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    def word_logp(c: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        """Natural logs of word arcs and spellings together."""
         if not n:
-            return lat / math.log(10)
-        return np.log10(np.maximum(c - d, 0) / n + d * v / n * np.exp(np.maximum(lat, -600))) if len(c) else np.zeros(0)
+            return lat
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(np.maximum(c - d, 0) / n), math.log(d * v / n) + lat)
 
     def base(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, is_word = [], (left["at"] >= 0).to_numpy()
+        arcs, left = left[~is_word], left[is_word]
         for r in right.itertuples():
-            tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.tokens), "<u4")
-            sizes, held = np.frombuffer(r.sizes, "<u4").astype(np.int64), np.frombuffer(r.held, np.uint8).astype(bool)
+            tokens, sizes, held = _numbers(r.tokens), np.frombuffer(r.sizes, "<u4").astype(np.int64), np.frombuffer(r.held, np.uint8).astype(bool)
             order = np.argsort(left["at"].to_numpy())
             c, lat = left["c"].to_numpy()[order], left["lat"].to_numpy()[order] + math.log1p(-END_SHARE)
-            end_c = np.array([ends])
-            end = float(model(end_c, np.array([math.log(END_SHARE)]))[0])
+            end_c, end_lat = np.array([ends]), math.log(END_SHARE)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            before = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            own = 10 ** model(c, lat)[tokens] * OWN_WORDS + _earlier(doc * np.int64(len(c) + 1) + tokens)
-            own = np.log10(own / (before + OWN_WORDS))
-            end_own = end + np.log10(OWN_WORDS / (sizes + OWN_WORDS))
             total = lambda x: np.bincount(doc, x, len(sizes))
+            stay = math.log1p(-BETA)  # no phrase arc is taken
+            end = stay + float(word_logp(end_c, np.array([end_lat]))[0])
+            marginal = np.zeros(len(sizes))
+            if len(tokens):
+                own = zstandard.decompress(r.words).split(b"\n")
+                first, name = phrases(np.fromiter((xxh64_intdigest(w, 7) for w in own), np.uint64, len(own))[tokens], doc)
+                along = np.add.reduceat((word_logp(c, lat) + stay)[tokens], first)
+                known = arcs["phrase"].to_numpy(np.int64)
+                by = np.argsort(known)
+                known, times = known[by], arcs["c"].to_numpy()[by]
+                if len(known):
+                    name = name.view(np.int64)
+                    at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+                    long = (known[at] == name) & (np.diff(np.append(first, len(tokens))) > 1)
+                    others = times[at] - np.where(held[doc[first]], 0, _own_uses(doc[first], name))
+                    arc = np.flatnonzero(long & (others > 0))
+                    along[arc] = np.logaddexp(along[arc], np.log(BETA * (others[arc] - DISCOUNT) / all_said))
+                marginal = np.bincount(doc[first], along, len(sizes))
             out.append(pd.DataFrame({
                 id_col: pd.array(list(r.ids), "Int64"), "held_out": held, "n_tokens": sizes + 1,
                 "n_known": total((c > 0).astype(float)[tokens]).astype(np.int64) + (ends > 0), "train_tokens": n,
-                "base_score": total(base(c)[tokens]) + float(base(end_c)[0]), "score": total(own) + end_own,
+                "base_score": total(base(c)[tokens]) + float(base(end_c)[0]), "score": (marginal + end) / math.log(10),
+                "piece_score": (total(lat[tokens]) + end_lat) / math.log(10),
             }))
-        return pd.concat(out) if out else pd.DataFrame(columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pd.concat(out) if out else pd.DataFrame(columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score"])
 
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, piece_score double"
     return answers.groupBy("chunk").cogroup(payload.groupBy("chunk")).applyInPandas(finish, schema)
