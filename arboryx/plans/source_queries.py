@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from arboryx.lineage import shared_folder
 from arboryx.operators import evolve
 from arboryx.sources import text_files
 from arboryx.sources.versions import VersionedTable
@@ -18,8 +18,7 @@ from .registry import query
 
 
 def _folder(t) -> str:
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/query-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/query-{uuid.uuid4().hex}"
 
 
 def _stream(t, name: str):
