@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from ..operators import graph
+
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage with a reliable checkpoint.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``; where none is
-    named (tests), a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def tiled(df: DataFrame, keys: Sequence[str], id_col: str, cap: int) -> DataFrame:
     """Split groups that hold more than ``cap`` rows into pairs of blocks.
 
@@ -49,37 +38,18 @@ def tiled(df: DataFrame, keys: Sequence[str], id_col: str, cap: int) -> DataFram
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges: (node, component), component = smallest node.
-
-    Alternating large-star and small-star rounds. Each round is two aggregations with map-side
-    combine and two equi-joins, and ends in a checkpoint; only two numbers per round reach the
-    driver. Nodes without an edge to another node are not in the result.
-    """
-    e = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
-
-    def signature(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    seen = signature(e)
-    for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = signature(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b): the smallest node reachable; nodes without an edge to another are left out."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "node")
 
 
-def all_of(conditions):
-    return reduce(lambda x, y: x & y, conditions)
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, which has an order, with the number of each row (from 0) in it; no task sees more than its own range."""
+    kept = cut(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).collect()  # a row per partition
+    before, start = 0, {}
+    for part, n, first in sorted(counts):
+        start[part] = before - first
+        before += n
+    offset = F.create_map(*[F.lit(x) for pair in start.items() for x in pair])[F.col("_part")] if start else F.lit(0)
+    return kept.withColumn(name, (F.col("_at") + offset).cast("long")).drop("_part", "_at")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tiled
+from ..lineage import cut
+from .common import components, tiled
 from .topk import finite
 
 #: Vectors of a block of a large cell; a task holds two blocks at a time.

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from ..lineage import cut
+from .common import WORD, numbered
 
 #: Rows of one (source, size) class that are ranked together when a class is rounded.
-RANKED = 1000
+RANKED = 200
+#: Relative error of a source's expected words that is still accepted when rounds end.
+ACCEPTED = 1e-6
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -18,30 +22,24 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` times all sizes
     by weight. No target is above ``cap`` times its source's size: the excess is shared again by
-    weight until none is. That fixed point is min(cap * size, weight * level); the level comes from
-    prefix sums over sources ordered by the level at which each fills up.
+    weight until none is. That fixed point is min(cap * size, weight * level); each round takes the
+    sources that are full at the level so far, and raises the level for the others. Sources may be many:
+    they are numbered range by range, and a round sends two sums to the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    number = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weight = F.array(*[F.lit(float(w)) for w in weights])[number]
-    everyone = Window.partitionBy()
-    fill = Window.orderBy("_full", F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        sources.withColumn("_w", weight)
-        .withColumn("_most", F.lit(float(cap)) * F.col("source_size"))
-        .withColumn("_full", F.col("_most") / F.col("_w"))
-        .withColumn("_total", F.lit(float(share)) * F.sum("source_size").over(everyone))
-        .withColumn("_used", F.coalesce(F.sum("_most").over(before), F.lit(0.0)))
-        .withColumn("_open", F.sum("_w").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_used")) / F.col("_open"))
-    )
-    level = F.max(F.when(F.col("_full") > F.col("_level"), F.col("_level"))).over(everyone)
-    return (
-        ranked.withColumn("_at", level)
-        .withColumn("target", F.coalesce(F.least("_most", F.col("_w") * F.col("_at")), F.col("_most")))
-        .select("source", "source_size", "target")
-    )
+    order = numbered(sources.orderBy(F.col("source").asc_nulls_last()), "_number")
+    weight = F.array(*[F.lit(float(w)) for w in weights])[F.pmod(F.col("_number"), F.lit(len(weights))).cast("int")]
+    most = F.lit(float(cap)) * F.col("source_size")
+    rated = cut(order.select("source", "source_size", weight.alias("_w"), most.alias("_most")))
+    total = share * (rated.agg(F.sum("source_size")).first()[0] or 0)
+    level = -1.0
+    while True:
+        open_ = F.col("_most") > F.col("_w") * F.lit(level)
+        used, left = rated.agg(F.sum(F.when(~open_, F.col("_most"))), F.sum(F.when(open_, F.col("_w")))).first()
+        reached = (total - (used or 0.0)) / left if left else math.inf
+        if reached <= level or not left:
+            break
+        level = reached
+    return rated.select("source", "source_size", F.least("_most", F.col("_w") * F.lit(level)).alias("target"))
 
 
 def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-9, max_rounds: int = 60) -> DataFrame:
@@ -52,7 +50,8 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float =
     r = min(cap, exp(lam * size / unit)), unit being the source's tokens-weighted mean size. Each
     round sums the dual's gradient and curvature per source over all classes; a step that leaves
     the bracket is replaced by halving it. Sources at their cap or without tokens have no multiplier
-    to find. Only the largest relative error reaches the driver.
+    to find. Only the largest relative error reaches the driver. Rounds end at ``tolerance``; if after
+    ``max_rounds`` the error is still above ACCEPTED, that is an error.
     """
     unit = classes.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("_unit"))
     open_goals = goals.where((F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap) & (F.col("target") > 0))
@@ -92,6 +91,9 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, tolerance: float =
         worst = state.agg(F.max("_err")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        if worst > ACCEPTED:
+            raise RuntimeError(f"the multipliers are off by {worst:.2g} of a target after {max_rounds} rounds")
     return state.select("source", "_lam", "_unit")
 
 
@@ -130,7 +132,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ranges; only the range in which the count runs out is ranked.
 
     Null sources form one source of their own, ordered last. Documents without words have size 0 and
-    are taken once, which adds no word. Repeated rows count each; an empty table gives no row.
+    are taken once, which adds no word. Repeated rows count each; an empty table gives no row. ``id_col`` may
+    have any name but those of the result's other columns; extra columns are not looked at.
     """
     base = cut(sized(docs, id_col, text_col, source_col))
     classes = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -179,10 +182,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as ``mixed`` says.
 
-    Rows of one id, source and size get the same number of copies, the largest of theirs.
+    Rows of one id, source and size get the same number of copies, the largest of theirs. Columns may
+    have any names; an empty table stays empty.
     """
-    copies = mixed.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    key = [F.col(id_col).alias("id"), F.col("source"), F.col("size")]
+    copies = mixed.select(*key, "copies").groupBy("id", "source", "size").agg(F.max("copies").alias("copies"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    repeated = docs.join(copies, same).where("_copies > 0")
-    return repeated.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    same = F.col("l.id").eqNullSafe(F.col("r.id")) & F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.size") == F.col("r.size"))
+    taken = rows.alias("l").join(copies.where("copies > 0").alias("r"), same)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, cut, tiled
+from ..lineage import cut
+from .common import components, tiled
 
 BITS = 64
 #: Buckets up to this size are joined with themselves; larger ones are searched for a spanning forest.
@@ -89,14 +90,14 @@ def spanning_forest(fp: np.ndarray, distance: int):
 
 
 def near_links(classes: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges (a, b) over ``classes`` (fp distinct, rep) that connect what links connect.
+    """Edges (a, b) between the fingerprints of ``classes`` (fp distinct) that connect what links connect.
 
     A link is a Hamming distance of at most ``distance``. Buckets of up to SMALL_BUCKET rows give
     all their links by a join; of larger buckets a spanning forest is enough, found tile by tile.
     """
     masks = block_masks(classes.count(), distance)
     keys = F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for j, m in enumerate(masks)])
-    keyed = classes.select("fp", "rep", F.explode(keys).alias("k")).select("k.j", "k.v", "fp", "rep")
+    keyed = classes.select("fp", F.explode(keys).alias("k")).select("k.j", "k.v", "fp")
     shared = keyed.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(keyed.join(shared, ["j", "v"]))
     small = met.where(F.col("n") <= SMALL_BUCKET)
@@ -105,21 +106,20 @@ def near_links(classes: DataFrame, distance: int = 4) -> DataFrame:
         .join(small.alias("y"), ["j", "v"])
         .where(F.col("x.fp") < F.col("y.fp"))
         .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
-        i, j = spanning_forest(fp, distance)
-        return pd.DataFrame({"a": rep[i], "b": rep[j]})
+        pdf = pdf.sort_values("fp")
+        fp = pdf["fp"].to_numpy()
+        i, j = spanning_forest(fp.view(np.uint64), distance)
+        return pd.DataFrame({"a": fp[i], "b": fp[j]})
 
-    kind = dict(classes.dtypes)["rep"]
     large = met.where(F.col("n") > SMALL_BUCKET).drop("n")
     forests = (
         tiled(large, ["j", "v"], "fp", BLOCK_ROWS)
         .groupBy("j", "v", "tile_a", "tile_b")
-        .applyInPandas(forest, f"a {kind}, b {kind}")
+        .applyInPandas(forest, "a long, b long")
     )
     return pairs.union(forests).distinct()
 
@@ -129,10 +129,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns (id, fp long, component_id): component_id is the smallest id reachable over links of
     at most ``distance`` differing bits. Null and empty texts have fingerprint zero and link like
-    any other; repeated rows stay repeated; extra columns of ``docs`` are not looked at.
+    any other; repeated rows stay repeated; extra columns of ``docs`` are not looked at. Rows without
+    an id link like any other but name no component: one of only such rows is null. A very long text
+    is hashed whole; an empty table gives no row. Each fingerprint has as many keys as
+    ``block_masks`` has masks: 5 for few rows, 70 for 10^9.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width))
     classes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     comp = components(near_links(classes, distance))
-    named = classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    rooted = cut(classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")

@@ -9,7 +9,9 @@ the source form a nonbranching path; paths from different buckets are compacted
 ends with path starts on (document, position, source document, diagonal). A span is kept together
 only as far as its source coordinates advance in step with it.
 
-An edge is identified by its 64-bit minimizer and 48 more bits of its own hash.
+An edge is identified by its 64-bit minimizer and 48 more bits of its own hash, a source by its coordinates,
+which have to go on in step. Words themselves are not compared again: hashes of edges start from 64-bit
+hashes of words, so two different words are taken for one with a probability of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -278,7 +280,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     space. Whether an edge is repeated is judged on the input. Documents of fewer than ``k`` words lose
     nothing, a null text has no words. Rows that share an id are compared like other documents,
     save that the same words at the same start do not count as earlier. A null id is never compared.
-    With ``carry`` a column ``row`` follows, a struct of the other columns of ``docs``.
+    With ``carry`` a column ``row`` follows, a struct of the other columns of ``docs``, and ``kept`` is the
+    text as it was (null for a null text) where nothing is removed. An empty table gives no row; extra
+    columns may have any names; a document is worked on whole, however long.
     """
     spans = repeated_spans(docs, id_col, text_col, k)
     per_doc = spans.groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
@@ -294,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            z = [c.compress((t.as_py() or "").encode()) for t in b.column(3)]
+            z = [c.compress(x.encode()) if (x := t.as_py()) is not None else None for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.binary())], names=["doc", "variant", "row", "z"])
 
     def strip(batches):
@@ -303,7 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
                 for z, spans in zip(part.column(1), part.column(2)):
-                    words = d.decompress(z.as_py()).split()
+                    raw = d.decompress(z.as_py()) if z.is_valid else None
+                    words = (raw or b"").split()
                     spans = spans.as_py() or []
                     if spans:
                         gone = np.zeros(len(words) + 1, np.int64)
@@ -314,7 +319,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         kept = [words[i] for i in stay.tolist()]
                     else:
                         kept = words
-                    out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
+                    text = raw if carry and len(kept) == len(words) else b" ".join(kept)
+                    out.append((len(words), len(words) - len(kept), text.decode() if text is not None else None))
                 n, r, t = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.string()), part.column(3)], names=[id_col, "n_words", "n_removed", "kept", "row"])
 
@@ -325,7 +331,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20) -> DataFrame:
     """``docs`` with the kept words as text where words were removed; other rows keep their text as it is."""
-    done = remove_repeats(docs.withColumn("_text", F.col(text_col)), id_col, text_col, k, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row._text"))
-    named = {id_col: F.col(f"`{id_col}`"), text_col: text}
+    done = remove_repeats(docs, id_col, text_col, k, carry=True)
+    named = {id_col: F.col(f"`{id_col}`").cast(docs.schema[id_col].dataType), text_col: F.col("kept")}
     return done.select(*[named.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

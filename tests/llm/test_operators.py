@@ -801,3 +801,113 @@ def test_texts_hash_as_in_the_contract(spark, sf):
     want = {r.doc_id: hashlib.sha256(removed([(x.doc_id, x.text) for x in rows])[r.doc_id][0][2].encode()).hexdigest() for r in rows[:1]}
     got = {r.doc_id: r.kept_sha256 for r in queries.op1_substring(spark, sf).collect()}
     assert all(got[i] == h for i, h in want.items())
+
+
+# rows that any table may have, for all operators and stages
+
+CLASHES = ["doc", "row", "component", "variant", "kept", "copies", "copy", "rate", "target", "_text", "_id", "_i", "_source", "_copies", "id", "rep", "size_", "chunk", "grade", "start", "key", "keys", "n"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, equal and different texts under one id, nulls in all columns, one very long text, clashing names."""
+    long = " ".join(f"w{i * i % 7919}" for i in range(60000))
+    texts = ["a b c d e f g h", "other words here now", None, ""]
+    rows = [(1, texts[0], "en", "s", 1), (1, texts[0], "en", "s", 1), (1, texts[1], "en", "t", 1), (2, texts[0], None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0)]
+    rows += [(None, texts[0], "en", "s", 1), (None, None, None, None, None), (5, long, "en", "s", 1), (6, long + " tail", "en", "s", 1), (7, " ".join(f"q{i}" for i in range(30)), "en", "t", 1)]
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(c) for c in CLASHES}).cache()
+
+
+def table(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_near_copies_drop_rows_not_ids(spark, sf, odd):
+    import corpus_pipeline
+
+    out = corpus_pipeline.one_of_near_copies(spark, odd, sf)
+    assert out.columns == odd.columns
+    got = sorted([(r.doc_id, (r.text or "")[:9]) for r in out.collect()], key=str)
+    assert got == sorted([(1, "a b c d e"), (1, "other wor"), (3, ""), (None, "a b c d e"), (None, ""), (5, "w0 w1 w4 "), (7, "q0 q1 q2 ")], key=str)
+    assert {r._text for r in out.collect()} == {"_text"}
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+        assert none.count() == 0 and none.columns == out.columns, name
+        if name != "packing":
+            assert out.columns == odd.columns and out.schema == odd.schema or name == "repeats", name
+            assert out.select(*[f"`{c}`" for c in CLASHES]).distinct().count() == 1, name
+    repeats = corpus_pipeline.without_repeats(spark, odd, sf)
+    assert repeats.columns == odd.columns and repeats.count() == odd.count()
+    kept = {(r.doc_id, r.text) for r in repeats.collect()}
+    assert (3, None) in kept and (4, "") in kept and (1, "other words here now") in kept and any(i == 6 and t == "tail" for i, t in kept)
+    mixed = corpus_pipeline.mixed_sources(spark, odd, sf)
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {(r.doc_id, r.text) for r in odd.collect()}
+
+
+def test_operators_on_empty_tables(spark, odd):
+    none, held = odd.limit(0), F.lit(False)
+    assert substring.remove_repeats(none).count() == 0 and substring.repeated_spans(none).count() == 0
+    assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert mixing.mix(none).count() == 0 and simhash.near_duplicates(none).count() == 0 and jaccard.near_duplicates(none).count() == 0
+    assert quality.grade(none, None, 2).count() == 0 and packing.pack_documents(none, TOKENIZER).count() == 0 and lm.score(none, held, VOCABULARY).count() == 0
+
+
+def test_operators_on_odd_rows(odd):
+    n = odd.count()
+    assert simhash.near_duplicates(odd).count() == mixing.mix(odd).count() == packing.pack_documents(odd, TOKENIZER).where("start = 0").count() == n
+    assert substring.remove_repeats(odd).count() == quality.grade(odd, None, 2).count() == n
+    ids = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect()}
+    assert (None, 1) in ids and (None, 3) in ids and (4, 3) in ids and (2, 1) in ids
+
+
+def test_simhash_rows_without_ids_link(spark):
+    rows = [(None, "a b c d", "", "", 0), (None, "a b c d", "", "", 0)]
+    assert [r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()] == [None, None]
+
+
+def test_mixing_of_many_sources(spark):
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randrange(60), "en", f"h{rng.randrange(400)}", 0) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).select("source", "target").distinct().collect()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = shares(sizes)
+    assert {r.source for r in got} == set(sizes) and all(r.target == pytest.approx(want[r.source]) for r in got)
+
+
+def test_quality_fit_is_a_maximum():
+    """The penalised likelihood, written out plainly, has no slope where the fit ends, but for what rounding leaves."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(300)]
+    truth = rng.standard_normal(40)
+    grades = np.digitize([truth[r].sum() + rng.logistic() for r in rows], [-1.0, 1.5])
+    model = quality.fit(rows, grades, 3, dim=64, rounds=3000, rate=0.02)
+    share = np.bincount(grades, minlength=3) / len(grades)
+    weight = (share**-0.5)[grades]
+    weight = weight / weight.sum()
+
+    def loss(w, cuts):
+        s = np.array([w[r].sum() for r in rows])
+        below = lambda j: 1.0 if j == 2 else 0.0 if j < 0 else 1 / (1 + np.exp(s - cuts[j]))
+        p = np.array([(below(g) - below(g - 1))[i] if g else below(g)[i] for i, g in enumerate(grades)])
+        return -(weight * np.log(p)).sum() + 3.0 / len(rows) / 2 * (w * w).sum()
+
+    w, cuts = model.weights.astype(float), model.thresholds
+    here = loss(w, cuts)
+    assert cuts[0] < cuts[1]
+    for i in range(40):
+        for step in (0.05, -0.05):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved, cuts) > here - 1e-6
+    for j in range(2):
+        for step in (0.05, -0.05):
+            moved = cuts.copy()
+            moved[j] += step
+            assert loss(w, moved) > here - 1e-6
