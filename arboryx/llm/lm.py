@@ -211,14 +211,14 @@ def phrases(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes: all lowest bytes, then all second ones, and so on."""
-    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
 
 
 def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-_NAMES = ["chunk", "ids", "held", "sizes", "tokens", "words", "train", "phrases", "phrase_train", "phrase_uses"]
+_NAMES = ["chunk", "ids", "held", "sizes", "tokens", "words", "train", "lengths", "numbers", "phrases", "phrase_train", "phrase_uses"]
 
 
 def _chunks(batches):
@@ -231,17 +231,28 @@ def _chunks(batches):
         sizes = np.array([len(t) for t in tokens], "<u4")
         flat, trains = np.concatenate(tokens), ~np.array(held, bool)
         doc = np.repeat(np.arange(len(sizes)), sizes)
+        # words are numbered by how often the chunk has them, so that most numbers are small
+        words, by = list(own), np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
+        rank = np.empty(len(own), np.uint32)
+        rank[by] = np.arange(len(own))
+        flat, words = rank[flat], [words[i] for i in by.tolist()]
         train = np.bincount(flat[trains[doc]], minlength=len(own))
-        hashes = np.fromiter((xxh64_intdigest(w, 7) for w in own), np.uint64, len(own))
+        hashes = np.fromiter((xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
         first, name = phrases(hashes[flat], doc)
-        long = np.flatnonzero(np.diff(np.append(first, len(flat))) > 1)
-        names, at = np.unique(name[long], return_inverse=True)
-        seen = np.bincount(at, trains[doc[first[long]]], len(names)).astype(np.int64)
+        # phrases are numbered as they turn up, one of a single word like any other, but such a one is no arc
+        names, turn, at = np.unique(name, return_index=True, return_inverse=True)
+        order = np.argsort(turn)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        names, at = names[order], place[at]
+        lengths = np.diff(np.append(first, len(flat)))
+        seen = np.bincount(at, trains[doc[first]] & (lengths > 1), len(names)).astype(np.int64)
         cells = [
             base + number, ids, np.array(held, np.uint8).tobytes(), sizes.tobytes(), _planes(flat),
-            zstandard.compress(b"\n".join(own), 3), _planes(train), names.astype("<u8").tobytes(), _planes(seen), _planes(np.bincount(at, minlength=len(names))),
+            zstandard.compress(b"\n".join(words), 6), _planes(train), _planes(lengths), _planes(np.diff(at, prepend=0)),
+            names.astype("<u8").tobytes(), _planes(seen), _planes(np.bincount(at, lengths > 1, len(names))),
         ]
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 10]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=_NAMES)
 
     ids, held, parts, size = [], [], [], 0
@@ -276,13 +287,17 @@ def _chunk_words(batches):
 
 
 def _chunk_phrases(batches):
-    """(chunk, phrase, train, uses) rows of chunks."""
+    """(chunk, at, phrase, train, uses) rows of chunks, for phrases of several words."""
     for batch in batches:
         for chunk, names, train, uses in zip(*(batch.column(c) for c in range(4))):
             some, n, m = np.frombuffer(names.as_py(), "<i8"), _numbers(train.as_py()).astype(np.int32), _numbers(uses.as_py()).astype(np.int32)
-            for lo in range(0, len(some), 10000):
-                part = slice(lo, lo + 10000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[part]), chunk.as_py())), *(pa.array(x[part]) for x in (some, n, m))], names=["chunk", "phrase", "train", "uses"])
+            long = np.flatnonzero(m)
+            for lo in range(0, len(long), 10000):
+                at = long[lo : lo + 10000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), chunk.as_py())), pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (some, n, m))],
+                    names=["chunk", "at", "phrase", "train", "uses"],
+                )
 
 
 def _own_uses(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -315,7 +330,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str =
     chunks = cut(docs.select(F.col(id_col).cast("long"), held, text_col).mapInArrow(_chunks, schema))
     rows = chunks.select("chunk", "words", "train").mapInArrow(_chunk_words, "chunk long, at int, word string, train long")
     totals = cut(rows.groupBy("word").agg(F.sum("train").alias("c")))
-    spoken = chunks.select("chunk", "phrases", "phrase_train", "phrase_uses").mapInArrow(_chunk_phrases, "chunk long, phrase long, train int, uses int")
+    spoken = chunks.select("chunk", "phrases", "phrase_train", "phrase_uses").mapInArrow(_chunk_phrases, "chunk long, at int, phrase long, train int, uses int")
     # a phrase that stands in one place alone is an arc of no document
     said = cut(spoken.groupBy("phrase").agg(F.sum("train").alias("c"), F.sum("uses").alias("uses")).where("c > 0 and uses > 1").select("phrase", "c"))
     all_said = spoken.agg(F.sum("train")).first()[0] or 1
@@ -350,10 +365,10 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str =
             yield pd.DataFrame({"word": pdf["word"], "c": pdf["c"], "lat": lattice.marginals(pdf["word"].tolist())})
 
     weighed = totals.mapInPandas(lattices, "word string, c long, lat double")
-    # words of a chunk by their place in it, phrases (place -1) by their names; no nulls, which would make names inexact
-    answers = rows.select("chunk", "at", "word").join(weighed, "word").select("chunk", "at", "c", "lat", F.lit(0).cast("long").alias("phrase"))
-    answers = answers.union(spoken.select("chunk", "phrase").join(said, "phrase").select("chunk", F.lit(-1), "c", F.lit(0.0), "phrase"))
-    payload = chunks.select("chunk", "ids", "held", "sizes", "tokens", "words")
+    # of a chunk, words by their numbers n (0 and up), phrases by -1 - n
+    answers = rows.select("chunk", "at", "word").join(weighed, "word").select("chunk", "at", "c", "lat")
+    answers = answers.union(spoken.select("chunk", "at", "phrase").join(said, "phrase").select("chunk", -1 - F.col("at"), "c", F.lit(0.0)))
+    payload = chunks.select("chunk", "ids", "held", "sizes", "tokens", "lengths", "numbers")
 
     def word_logp(c: np.ndarray, lat: np.ndarray) -> np.ndarray:
         """Natural logs of word arcs and spellings together."""
@@ -379,19 +394,14 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str =
             end = stay + float(word_logp(end_c, np.array([end_lat]))[0])
             marginal = np.zeros(len(sizes))
             if len(tokens):
-                own = zstandard.decompress(r.words).split(b"\n")
-                first, name = phrases(np.fromiter((xxh64_intdigest(w, 7) for w in own), np.uint64, len(own))[tokens], doc)
+                lengths, at = _numbers(r.lengths).astype(np.int64), np.cumsum(_numbers(r.numbers).view("<i4").astype(np.int64))
+                first = np.cumsum(lengths) - lengths
                 along = np.add.reduceat((word_logp(c, lat) + stay)[tokens], first)
-                known = arcs["phrase"].to_numpy(np.int64)
-                by = np.argsort(known)
-                known, times = known[by], arcs["c"].to_numpy()[by]
-                if len(known):
-                    name = name.view(np.int64)
-                    at = np.minimum(np.searchsorted(known, name), len(known) - 1)
-                    long = (known[at] == name) & (np.diff(np.append(first, len(tokens))) > 1)
-                    others = times[at] - np.where(held[doc[first]], 0, _own_uses(doc[first], name))
-                    arc = np.flatnonzero(long & (others > 0))
-                    along[arc] = np.logaddexp(along[arc], np.log(BETA * (others[arc] - DISCOUNT) / all_said))
+                times = np.zeros(int(at.max()) + 1, np.int64)
+                times[-1 - arcs["at"].to_numpy()] = arcs["c"].to_numpy()
+                others = times[at] - np.where(held[doc[first]], 0, _own_uses(doc[first], at))
+                arc = np.flatnonzero((lengths > 1) & (others > 0))
+                along[arc] = np.logaddexp(along[arc], np.log(BETA * (others[arc] - DISCOUNT) / all_said))
                 marginal = np.bincount(doc[first], along, len(sizes))
             out.append(pd.DataFrame({
                 id_col: pd.array(list(r.ids), "Int64"), "held_out": held, "n_tokens": sizes + 1,
