@@ -77,9 +77,9 @@ def match_strength(alias: Column, surface: Column) -> Column:
     )
 
 
-def citations(x: Column) -> Column:
+def citations(x: Column, prefix: str = "NODE-") -> Column:
     """Cited node ids in the order of their first mention."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit("\\[(AKA-[0-9a-f]+)\\]"), 1))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"\\[({prefix}[0-9a-f]+)\\]"), 1))
 
 
 def links(html: Column) -> Column:

@@ -54,7 +54,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.select(F.col("e.src").alias("id"), F.col("e.dst").alias("neighbour")).where("id <> neighbour").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4, co_locate: bool = True) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4, co_locate: bool = False) -> DataFrame:
     """Spreading activation of many queries at once.
 
     ``seeds`` is (query_id, id, x), ``edges`` (src, dst, cond). ``raw``: x <- damping * A'x, the last

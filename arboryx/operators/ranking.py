@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboryx.functions import vectors
+from arboryx.lineage import cut
 
 
 def bm25(tokens: DataFrame, query_tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -35,17 +36,50 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def nearest(vectors_df: DataFrame, queries: DataFrame, k: int, least: float | None = None, most: float | None = None) -> DataFrame:
+#: Vectors of a block and queries that meet it together.
+BLOCK_ROWS, QUERY_ROWS = 16384, 2048
+
+
+def nearest(vectors_df: DataFrame, queries: DataFrame, k: int, least: float | None = None, most: float | None = None, group: str | None = None) -> DataFrame:
     """(query_id, id, cosine, rank): exact neighbours of a stated query set, itself left out; optionally within a band.
 
-    Both sides are (id, v) of unit vectors. All rows meet all queries, which is the contract of an exact
-    search; each partition keeps k rows per query before anything is shuffled.
+    Both sides are (id, v) of unit vectors; with ``group``, a column of both, only vectors of a query's own
+    group count. Vectors are dealt into blocks, queries into parts; a task multiplies one block by one
+    part and gives back k rows per query, so no pair of a vector and a query is ever a row.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("_q"))
-    scored = vectors_df.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("_q")), 9).alias("cosine"))
-    if least is not None:
-        scored = scored.where(F.col("cosine").between(least, most))
-    return top(scored, ["query_id"], [F.desc("cosine"), F.col("id")], k)
+    both = [*([group] if group else [])]
+    found_v, found_q = cut(vectors_df.select("id", "v", *both)), cut(queries.select("id", "v", *both))
+    blocks, parts = max(1, -(-found_v.count() // BLOCK_ROWS)), max(1, -(-found_q.count() // QUERY_ROWS))
+    dealt = lambda df, n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = found_v.withColumn("block", dealt(found_v, blocks, "block")).withColumn("part", every(parts))
+    right = found_q.withColumn("part", dealt(found_q, parts, "part")).withColumn("block", every(blocks))
+    kind = dict(found_v.dtypes)["id"]
+
+    def search(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        names = ["query_id", "id", "cosine"]
+        if not len(l) or not len(r):
+            return pd.DataFrame({c: [] for c in names})
+        l = l.sort_values("id", kind="stable")  # noqa: E741
+        x, ids, out = np.stack(l["v"].to_numpy()), l["id"].to_numpy(), []
+        for lo in range(0, len(r), 256):
+            some = r.iloc[lo : lo + 256]
+            own = some["id"].to_numpy()
+            s = np.round(np.stack(some["v"].to_numpy()) @ x.T, 9)
+            ok = ids[None, :] != own[:, None]
+            if group:
+                ok &= l[group].to_numpy()[None, :] == some[group].to_numpy()[:, None]
+            if least is not None:
+                ok &= (s >= least) & (s <= most)
+            s = np.where(ok, s, -np.inf)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            i, j = np.nonzero(np.take_along_axis(ok, best, axis=1))
+            at = best[i, j]
+            out.append(pd.DataFrame(dict(zip(names, (own[i], ids[at], s[i, at])))))
+        return pd.concat(out)
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, f"query_id {kind}, id {kind}, cosine double")
+    return top(found, ["query_id"], [F.desc("cosine"), F.col("id")], k)
 
 
 def filtered_rank(scores: DataFrame, truth: DataFrame, known: DataFrame) -> DataFrame:

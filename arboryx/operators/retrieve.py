@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arboryx.functions import vectors
 from arboryx.lineage import cut
 
 from . import assemble, graph, ranking, seeding
@@ -16,14 +15,24 @@ def retrieve(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 50
 
     ``nodes`` is (id, v unit vector, is_anchor), ``edges`` (src, dst, rel, weight) and ``queries``
     (query_id, v). The nearest nodes of a query become diversified seeds by weight classes over all nodes'
-    in-strength; activation spreads from them; without any edge the neighbours are the result.
+    in-strength; activation spreads from them; without any edge the neighbours are the result, each as
+    active as its cosine, at least 0.
     """
     conducting = graph.conducting(edges)
     strength = nodes.select("id").join(graph.in_strength(conducting), "id", "left").select("id", F.coalesce("in_strength", F.lit(0.0)).alias("potential"))
     classes = seeding.weight_classes(strength)
-    q = queries.select("query_id", F.col("v").alias("_q"))
-    scored = nodes.select("id", "v").crossJoin(q).select("query_id", "id", "v", F.round(vectors.dot(F.col("v"), F.col("_q")), 9).alias("cosine"))  # a stated query set
-    near = ranking.top(scored, ["query_id"], [F.desc("cosine"), F.col("id")], candidates)
+    asked = queries.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("id"), "v")
+    named = nodes.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "v")
+    kinds = dict(nodes.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    bare = lambda c, kind: F.substring(c, 2, 2**31 - 1).cast(kind)
+    near = ranking.nearest(named, asked, max(candidates, k)).select(bare("query_id", kinds[1]).alias("query_id"), bare("id", kinds[0]).alias("id"), "cosine", "rank")
+    near = cut(near.join(nodes.select("id", "v"), "id"))
+    if conducting.isEmpty():
+        alone = near.where(F.col("rank") <= k).select("query_id", "id", F.greatest(F.col("cosine"), F.lit(0.0)).alias("x"))
+        chosen = cut(assemble.strongest(alone, nodes, k))
+        none = assemble.result_edges(edges, chosen, alone, F.lit(1))
+        return {"seeds": alone.limit(0), "nodes": chosen, "edges": none, "verdicts": assemble.verdicts(chosen, none, queries)}
+    near = near.where(F.col("rank") <= candidates)
     seeds = cut(seeding.diversified(near.join(classes.select("id", "weight_class"), "id"), k_seeds, lam, candidates).select("query_id", "id", F.col("weight").alias("x")))
     active = graph.spread(conducting, seeds, operator)
     chosen = cut(assemble.strongest(active, nodes, k))

@@ -222,13 +222,13 @@ def paired_sign_test(t):
 
 
 @query(
-    "WITH t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 40) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+    "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
     " SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN CASE WHEN len(x) = len(y) THEN 1 ELSE 0 END ELSE"
     " 2.0 * coalesce(list_sum(list_transform(list_distinct(x), lambda k: least(len(list_filter(x, lambda z: z = k)), len(list_filter(y, lambda z: z = k))))), 0) / (len(x) + len(y)) END + 1e-11, 8) AS f1 FROM p"
 )
 def turn_token_f1(t):
-    """Token F1 of the first 40 tokens of each turn and the next."""
-    w = t.conversations.select("conv_id", "turn", F.slice(text.tokens(F.col("text")), 1, 40).alias("w"))
+    """Token F1 of each turn and the next, whole texts."""
+    w = t.conversations.select("conv_id", "turn", text.tokens(F.col("text")).alias("w"))
     nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("y"))
     return w.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(ranking.token_f1(F.col("w"), F.col("y")) + 1e-11, 8).alias("f1"))
 
@@ -244,7 +244,7 @@ def peak_hour_cost(t):
     return t.events.select("event_id", F.round(price * F.col("value") / 1000 + 1e-11, 8).alias("cost"))
 
 
-@query("SELECT c_custkey, 'AKA-' || substr(sha256('customer:' || c_custkey || ':' || lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))), 1, 12) AS id FROM customer")
+@query("SELECT c_custkey, 'NODE-' || substr(sha256('customer:' || c_custkey || ':' || lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))), 1, 12) AS id FROM customer")
 def deterministic_ids(t):
     return t.customer.select("c_custkey", scalar.node_id(F.lit("customer"), F.col("c_custkey").cast("string"), F.col("c_name")).alias("id"))
 

@@ -256,13 +256,14 @@ def multi_query_merge(t):
 
 @query()
 def kmeans_clusters(t):
-    """Spark's k-means by cosine over unit vectors, k = max(5, floor(sqrt(n))) up to 50."""
+    """Spark's k-means by cosine over unit vectors, k = max(5, floor(sqrt(n))), until it settles."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    k = min(50, max(5, int(data.count() ** 0.5)))
-    model = KMeans(k=k, seed=0, distanceMeasure="cosine", maxIter=10).fit(data)
+    n = data.count()
+    k = min(n, max(5, int(n**0.5)))
+    model = KMeans(k=k, seed=0, distanceMeasure="cosine", maxIter=100).fit(data)
     return model.transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 

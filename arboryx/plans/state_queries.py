@@ -226,8 +226,8 @@ def contradictions(t):
 
 
 @query(
-    "WITH m AS (SELECT DISTINCT l_orderkey AS u, l_partkey AS i FROM lineitem), ok AS (SELECT i FROM m GROUP BY i HAVING count(*) BETWEEN 2 AND 200), k AS (SELECT u, i FROM m JOIN ok USING (i)),"
-    " p AS (SELECT a.u AS l, b.u AS r, count(*) AS shared FROM k a JOIN k b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2),"
+    "WITH m AS (SELECT DISTINCT l_orderkey AS u, l_partkey AS i FROM lineitem), "
+    " p AS (SELECT a.u AS l, b.u AS r, count(*) AS shared FROM m a JOIN m b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2),"
     " d AS (SELECT l, r, shared FROM p UNION ALL SELECT r, l, shared FROM p), k12 AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY shared DESC, r) AS n FROM d)"
     " SELECT DISTINCT least(l, r) AS l, greatest(l, r) AS r, shared FROM k12 WHERE n <= 12"
 )

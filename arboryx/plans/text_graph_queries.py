@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arboryx.functions import text, vectors
-from arboryx.operators import graph, ranking
+from arboryx.operators import graph, ranking, spans
 
 from . import fixtures as fx
 from .fixtures import EDGES, NODES, SEEDS, TOKENS
@@ -55,11 +55,12 @@ def name_anchor_seeds(t):
 def entity_links(t):
     """Every hundredth vector linked to the best of the others by cosine and common tag, or minted (-1)."""
     unit = _unit(t)
-    mentions = unit.where("id % 100 = 0").select(F.col("id").alias("m"), F.col("label").alias("ml"), F.col("v").alias("mv"))
-    bonus = F.when(F.col("label") == F.col("ml"), 0.08).otherwise(0.0)
-    scored = unit.where("id % 100 <> 0").crossJoin(mentions).select("m", "id", F.round(vectors.dot(F.col("v"), F.col("mv")) + bonus, 9).alias("score"))  # a stated query set
-    best = scored.groupBy("m").agg(F.max("score").alias("score"), F.max_by("id", F.struct("score", -F.col("id"))).alias("c"))
-    return best.select(F.col("m").alias("id"), F.when(F.col("score") >= 0.72, F.col("c")).otherwise(-1).alias("linked"), "score")
+    # a common label adds one fixed amount: the best is that of its own label with it, or the best of all without
+    mentions, others = unit.where("id % 100 = 0"), unit.where("id % 100 <> 0")
+    same = ranking.nearest(others, mentions, 1, group="label").select("query_id", "id", F.round(F.col("cosine") + 0.08, 9).alias("score"))
+    every = ranking.nearest(others, mentions, 1).select("query_id", "id", F.col("cosine").alias("score"))
+    best = ranking.top(same.union(every), ["query_id"], [F.desc("score"), F.col("id")], 1)
+    return best.select(F.col("query_id").alias("id"), F.when(F.col("score") >= 0.72, F.col("id")).otherwise(-1).alias("linked"), "score")
 
 
 @query("SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS section, trim(unnest(h), ' ') AS heading FROM (SELECT page_id, regexp_extract_all(html, '<h[1-4][^>]*>([^<]*)<', 1) AS h FROM pages)")
@@ -80,19 +81,12 @@ def page_hosts(t):
 
 @query(
     "WITH RECURSIVE s AS (SELECT doc_id, 0::BIGINT AS lo, length(text)::BIGINT AS hi, 0 AS depth FROM documents UNION ALL"
-    " SELECT doc_id, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, depth + 1 FROM s, (VALUES (0), (1)) v(side) WHERE hi - lo > 1000 AND depth < 8)"
+    " SELECT doc_id, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, depth + 1 FROM s, (VALUES (0), (1)) v(side) WHERE hi - lo > 100 AND depth < 20)"
     " SELECT doc_id, depth, count(*) AS spans, max(hi - lo) AS longest FROM s GROUP BY 1, 2"
 )
 def span_subdivision(t):
-    """Spans halved until they are 1,000 characters or shorter, at most eight times; counts per level."""
-    now = t.documents.select("doc_id", F.lit(0).cast("long").alias("lo"), F.length("text").cast("long").alias("hi"), F.lit(0).alias("depth"))
-    levels = [now]
-    for d in range(1, 9):
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long")
-        halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), F.col("hi").alias("hi")))
-        now = now.where("hi - lo > 1000").select("doc_id", F.explode(halves).alias("h")).select("doc_id", "h.lo", "h.hi", F.lit(d).alias("depth"))
-        levels.append(now)
-    return reduce(lambda a, b: a.unionByName(b), levels).groupBy("doc_id", "depth").agg(F.count("*").alias("spans"), F.max(F.col("hi") - F.col("lo")).alias("longest"))
+    """Spans halved until they are 100 characters or shorter, at most twenty times; counts per level."""
+    return spans.subdivided(t.documents.select("doc_id", F.length("text").cast("long").alias("n"))).groupBy("doc_id", "depth").agg(F.sum("spans").alias("spans"), F.max("length").alias("longest"))
 
 
 _SWEEP = " UNION ALL ".join(
@@ -197,14 +191,14 @@ def ingest_verdicts(t):
 
 
 @query(
-    "WITH q AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue, max(turn) AS last_ FROM conversations GROUP BY 1) SELECT conv_id, md5(right(dialogue || chr(10) || '---', 2000)) AS composed, CAST(last_ AS BIGINT) AS turns FROM q"
+    "WITH q AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue, max(turn) AS last_ FROM conversations GROUP BY 1) SELECT conv_id, md5(right(dialogue || chr(10) || '---', 14000)) AS composed, CAST(last_ AS BIGINT) AS turns FROM q"
 )
 def query_composition(t):
-    """A conversation as one query, its last 2,000 characters."""
+    """A conversation as one query, its last 14,000 characters."""
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("l"))))
     q = t.conversations.groupBy("conv_id").agg(lines.alias("l"), F.max("turn").alias("turns"))
     whole = F.concat(F.array_join(F.transform("l", lambda x: x["l"]), "\n"), F.lit("\n---"))
-    return q.select("conv_id", F.md5(F.right(whole, F.lit(2000))).alias("composed"), "turns")
+    return q.select("conv_id", F.md5(F.right(whole, F.lit(14000))).alias("composed"), "turns")
 
 
 @query(
@@ -222,14 +216,11 @@ def freshness_by_gap(t):
 
 @query()
 def retrieval(t):
-    """Documents and their vectors: every hundredth vector asks; documents that share rare words are joined."""
-    from arboryx.operators import identity, retrieve
-
-    words = fx.tokens(t).where("length(token) >= 8")
-    pairs = identity.shared_pairs(words, "doc_id", "token", 12, 20)
-    weight = F.least(F.lit(0.7), 0.25 + 0.1 * F.col("shared"))
-    edges = pairs.select(F.explode(F.array(F.struct(F.col("l").alias("src"), F.col("r").alias("dst")), F.struct(F.col("r").alias("src"), F.col("l").alias("dst")))).alias("e"), weight.alias("weight"))
-    edges = edges.select("e.src", "e.dst", F.lit("shares_words").alias("rel"), "weight")
+    """Documents and their vectors: every hundredth vector asks; documents of one source and language in turn are joined."""
+    from arboryx.operators import retrieve
+
+    along = Window.partitionBy("source", "lang").orderBy("doc_id")
+    edges = t.documents.select(F.lag("doc_id").over(along).alias("src"), F.col("doc_id").alias("dst"), F.lit("follows").alias("rel"), F.lit(0.5).alias("weight")).where("src is not null")
     nodes = _unit(t).join(t.documents.select(F.col("doc_id").alias("id")), "id").select("id", "v", (F.col("id") % 10 == 0).alias("is_anchor"))
     found = retrieve.retrieve(nodes, edges, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"))
     return found["nodes"]

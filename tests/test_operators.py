@@ -163,7 +163,7 @@ def test_texts(spark):
     assert one(spark, text.overlapping_chunks(s("abcdefghij"), 4, 2)) == ["abcd", "cdef", "efgh", "ghij"]
     assert one(spark, text.truncated(s("abcdef"), 4)) == "abc…"
     assert [one(spark, text.match_strength(s("Foo Bar"), s(x))) for x in ("Foo Bar", "foo bar", "foobar", "foo-bar", "x")] == [4, 3, 2, 1, 0]
-    assert one(spark, text.citations(s("[AKA-0a] b [AKA-1f][AKA-0a]"))) == ["AKA-0a", "AKA-1f"]
+    assert one(spark, text.citations(s("[NODE-0a] b [NODE-1f][NODE-0a]"))) == ["NODE-0a", "NODE-1f"]
 
 
 def test_line_sources(spark, tmp_path):
