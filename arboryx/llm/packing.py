@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -19,8 +19,9 @@ END_ID = 2
 LEVELS = 16
 
 #: The alphabet in which the tokenizer's normaliser changes nothing but case, and its splitting pattern.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*+")
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"  # those of the alphabet, in lower case
+PIECE = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 
 
 class WordTokenizer:
@@ -53,8 +54,8 @@ class WordTokenizer:
             ids = self._ids(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.empty(0, np.int64)
             if len(cuts) == len(some):
-                for w, part in zip(some, np.split(ids, cuts[:-1])):
-                    self.cache[w] = part.tobytes()
+                data, ends = ids.tobytes(), (cuts * ids.itemsize).tolist()
+                self.cache.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends))))
             else:
                 for w in some:
                     self.cache[w] = self._ids(w).tobytes()
@@ -62,14 +63,15 @@ class WordTokenizer:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in texts]
         known = self.cache
-        new = {w for words in split if words for w in words if w not in known}
+        used = set().union(*filter(None, split))
+        new = used.difference(known)
         if new:
             if len(known) + len(new) > self.cached_words and known:
                 known.clear()
-                new = {w for words in split if words for w in words}
+                new = used
             self._learn(sorted(new))
         return [
-            self._ids(t) if words is None else np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+            self._ids(t) if words is None else np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
             for t, words in zip(texts, split)
         ]
 

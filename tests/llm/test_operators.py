@@ -385,6 +385,7 @@ def test_word_tokenizer_is_exact():
     plain.encode_special_tokens = True
     mine = packing.WordTokenizer(TOKENIZER, cached_words=50)
     texts = ["It's 12 o'clock, we'LL go…", "<|endoftext|> é É ß µ ½ ª", "a\x1cb\x85c d", "ΣΑΣ 中文 😀", "", "'s't", "ﬁ é", "x" * 300, *[d[1] or "" for d in documents()]]
+    texts += [f"a{chr(c)}b{chr(c)}{chr(c)} {chr(c)}1" for c in range(1, 0x180)]
     assert [x.tolist() for x in mine.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
