@@ -5,8 +5,9 @@ share their minimizer (the m-word piece with the smallest hash) travel together
 bucket of that minimizer, so that all occurrences of an edge meet in one bucket while a word is
 shipped about once. A bucket finds each edge's source, its smallest coordinate (document, start);
 edges that start later are repeated. Repeated edges that follow each other both in the document and in
-the source form a nonbranching path; paths from different buckets are compacted by a join of path
-ends with path starts on (document, position, source document, diagonal). A span is kept together
+the source form a nonbranching path. Edges of a minimizer that too many different paths share travel one by one,
+each to the bucket of its own hash, so that no bucket holds such a minimizer whole. Paths from different buckets are
+compacted by a join of path ends with path starts on (document, position, source document, diagonal). A span is kept together
 only as far as its source coordinates advance in step with it.
 
 An edge is identified by its 64-bit minimizer and 48 more bits of its own hash, a source by its coordinates,
@@ -32,6 +33,11 @@ MINIMIZER = 5
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
+#: Edges from which on a minimizer's paths are taken apart, and of how many different paths one is counted to find them.
+HOT_EDGES = 500_000
+COUNTED = 256
+#: Bits that tell hot minimizers, which is the size of what tasks are sent; two minimizers of one bit are both taken apart.
+HOT_BITS = 1 << 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -127,7 +133,20 @@ def _numbers(data: bytes, kind: str) -> np.ndarray:
 _COLUMNS = ["bucket", "ids", "variants", "doc", "start", "edges", "minimizer", "edge", "repeats"]
 
 
-def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buckets: int, powers):
+def _counted(texts: list[bytes], k: int, every: int, powers) -> tuple[np.ndarray, np.ndarray]:
+    """(minimizer, edges) of one of ``every`` of the chunk's different paths, chosen by the hash of their first edge."""
+    _, n, minimizer, edge = paths(*hashed_words(texts, powers), k)
+    begin = edge[np.cumsum(n) - n]
+    at = np.unique(begin, return_index=True)[1]
+    at = at[_mixed(begin[at]) % np.uint64(every) == 0]
+    return minimizer[at], n[at]
+
+
+def _bit(minimizer: np.ndarray) -> np.ndarray:
+    return (_mixed(minimizer) % np.uint64(HOT_BITS)).astype(np.int64)
+
+
+def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buckets: int, hot: np.ndarray, powers):
     """Rows for the buckets from one chunk of documents, ordered by id."""
     words, doc = hashed_words(texts, powers)
     first, n, minimizer, edge = paths(words, doc, k)
@@ -148,9 +167,15 @@ def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buc
     repeats = _runs(d[at], start[at], n[at], d[source[at]], start[source[at]])
     repeats = np.stack([repeats[0], repeats[1], repeats[2], repeats[3], repeats[4]], axis=1).astype("<u4")
     keep = np.flatnonzero(~later)
-    to = (minimizer[keep] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    keep, to = keep[order], to[order]
+    # from here on a hot minimizer's path is as many paths as it has edges
+    apart = np.isin(_bit(minimizer[keep]), hot)
+    pieces = np.where(apart, n[keep], 1)
+    apart, keep = np.repeat(apart, pieces), np.repeat(keep, pieces)
+    step = np.arange(len(keep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    d, start, n, minimizer, offset = d[keep], start[keep] + step, np.where(apart, 1, n[keep]), minimizer[keep], offset[keep] + step
+    to = (np.where(apart, _mixed(edge[offset] ^ minimizer), minimizer) % np.uint64(buckets)).astype(np.int64)
+    keep = np.argsort(to, kind="stable")
+    to = to[keep]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else np.zeros(1, np.int64)
     groups = len(cuts) - 1
     if not groups:  # all is repeated, which needs a row all the same
@@ -219,35 +244,57 @@ def variant_of(text_col: str):
     return F.xxhash64(text_col).bitwiseAND(F.lit((1 << 24) - 1))
 
 
+def _chunks(batches, size: int):
+    """Rows (id, variant, text) of about ``size`` bytes at a time, in order of ids, equal ones once."""
+    rows, held = {}, 0
+    for batch in batches:
+        for i, v, t in zip(*(batch.column(c) for c in range(3))):
+            t = t.as_py().encode()
+            if rows and held + len(t) > size:
+                yield [rows[key] for key in sorted(rows)]
+                rows, held = {}, 0
+            key = i.as_py(), v.as_py()
+            rows[key] = (*key, t)
+            held += len(t)
+    if rows:
+        yield [rows[key] for key in sorted(rows)]
+
+
+def hot_bits(compared: DataFrame, k: int) -> np.ndarray:
+    """Bits of the minimizers of ``HOT_EDGES`` edges or more, in order; at most ``HOT_BITS``, however large the table.
+
+    One of ``COUNTED`` different paths of every chunk of every document is counted, so it is an estimate. It
+    only decides which way edges travel; the repeats found are the same whatever it says.
+    """
+
+    chunk_bytes, every = CHUNK_BYTES, COUNTED
+
+    def count(batches):
+        powers = _Powers(_BASE), _Powers(_INVERSE)
+        for rows in _chunks(batches, chunk_bytes):
+            minimizer, n = _counted([r[2] for r in rows], k, every, powers)
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(minimizer)), pa.array(n.astype(np.int64))], names=["bit", "n"])
+
+    counts = compared.mapInArrow(count, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= HOT_EDGES / every).select("bit").toPandas()["bit"].to_numpy(np.int64))
+
+
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Repeated edges as runs (doc, variant, start, n, src_doc, src_start), not yet compacted across buckets."""
     text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(text_bytes / BUCKET_BYTES))
+    compared = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), variant_of(text_col), text_col)
+    hot, chunk_bytes = hot_bits(compared, k), CHUNK_BYTES
 
     def edges(batches):
         powers = _Powers(_BASE), _Powers(_INVERSE)
-
-        def chunk(rows):
-            rows = sorted({(r[0], r[1]): r for r in rows}.values(), key=lambda r: r[:2])
-            made = _ship(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], k, buckets, powers)
-            made = list(made)
+        for rows in _chunks(batches, chunk_bytes):
+            made = list(_ship(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], k, buckets, hot, powers))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*made))], names=_COLUMNS)
 
-        rows, held = [], 0
-        for batch in batches:
-            for i, v, t in zip(*(batch.column(c) for c in range(3))):
-                t = t.as_py().encode()
-                if rows and held + len(t) > CHUNK_BYTES:
-                    yield from chunk(rows)
-                    rows, held = [], 0
-                rows.append((i.as_py(), v.as_py(), t))
-                held += len(t)
-        if rows:
-            yield from chunk(rows)
-
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS[1:])
-    shipped = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), variant_of(text_col), text_col).mapInArrow(edges, schema)
+    shipped = compared.mapInArrow(edges, schema)
     return shipped.groupBy("bucket").applyInPandas(_resolve, "doc long, variant long, start long, n long, src_doc long, src_start long")
 
 

@@ -82,6 +82,36 @@ def test_substring(docs, monkeypatch, chunk):
     assert by_id(substring.remove_repeats(docs)) == removed(documents())
 
 
+@pytest.mark.parametrize("hot_edges", [1, 20])
+def test_substring_takes_hot_minimizers_apart(docs, monkeypatch, hot_edges):
+    """Whatever travels edge by edge, all of it or some, the same words go."""
+    monkeypatch.setattr(substring, "HOT_EDGES", hot_edges)
+    monkeypatch.setattr(substring, "COUNTED", 1)
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 500)
+    compared = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", substring.variant_of("text"), "text")
+    assert len(substring.hot_bits(compared, 20))
+    assert by_id(substring.remove_repeats(docs)) == removed(documents())
+
+
+def test_substring_buckets_of_a_common_phrase():
+    """Documents that share a phrase and nothing else: its edges come to many buckets once it is hot."""
+    rng, phrase = np.random.default_rng(3), [b"common%d" % x for x in range(14)]
+    texts = [b" ".join([*(b"w%d" % x for x in rng.integers(0, 10**9, 20)), *phrase, *(b"w%d" % x for x in rng.integers(0, 10**9, 20))]) for _ in range(400)]
+    powers = substring._Powers(substring._BASE), substring._Powers(substring._INVERSE)
+    words, doc = substring.hashed_words(texts, powers)
+    _, n, minimizer, _ = substring.paths(words, doc, 20)
+    per = {m: int(n[minimizer == m].sum()) for m, c in zip(*np.unique(minimizer, return_counts=True)) if c > 20}
+    edges = max(per.values())
+    ids = np.arange(len(texts))
+
+    def largest(hot):
+        rows = substring._ship(ids, ids, texts, 20, 64, np.array(hot, np.int64), powers)
+        return max(len(r[7]) // 6 for r in rows)
+
+    hot = np.unique(substring._bit(np.array(list(per), np.uint64)))
+    assert largest([]) >= edges > 3 * largest(hot)
+
+
 def test_substring_spans_point_to_equal_words(docs):
     text = {r[0]: words_of(r[1]) for r in documents()}
     spans = substring.repeated_spans(docs).collect()
