@@ -96,7 +96,7 @@ def test_substring_takes_hot_minimizers_apart(docs, monkeypatch, hot_edges):
 def test_substring_buckets_of_a_common_phrase():
     """Documents that share a phrase and nothing else: its edges come to many buckets once it is hot."""
     rng, phrase = np.random.default_rng(3), [b"common%d" % x for x in range(14)]
-    texts = [b" ".join([*(b"w%d" % x for x in rng.integers(0, 10**9, 20)), *phrase, *(b"w%d" % x for x in rng.integers(0, 10**9, 20))]) for _ in range(400)]
+    texts = [b" ".join([*(b"w%d" % x for x in rng.integers(0, 10**9, 20)), *phrase, *(b"w%d" % x for x in rng.integers(0, 10**9, 20))]) for _ in range(1500)]
     powers = substring._Powers(substring._BASE), substring._Powers(substring._INVERSE)
     words, doc = substring.hashed_words(texts, powers)
     _, n, minimizer, _ = substring.paths(words, doc, 20)
@@ -109,7 +109,7 @@ def test_substring_buckets_of_a_common_phrase():
         return max(len(r[7]) // 6 for r in rows)
 
     hot = np.unique(substring._bit(np.array(list(per), np.uint64)))
-    assert largest([]) >= edges > 3 * largest(hot)
+    assert largest([]) >= edges > 2 * largest(hot)
 
 
 def test_substring_spans_point_to_equal_words(docs):
