@@ -35,6 +35,13 @@ def texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return told.where("reason is null").select(F.col("f")[0].alias("qid"), F.col("f")[1].alias("text")), told.where("reason is not null").select("value", "reason")
 
 
+def relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pid, aliases) of lines ``P1<TAB>alias<TAB>...``, and (value, reason) of the others."""
+    aliases = F.filter(F.transform(F.slice("f", 2, 1_000_000), lambda a: F.trim(a)), lambda a: a != "")
+    told = _told(_lines(spark, path).withColumn("aliases", aliases), [(F.trim("value") == "", "blank"), (~F.trim(F.col("f")[0]).startswith("P"), "bad id"), (F.size("aliases") == 0, "no alias")])
+    return told.where("reason is null").select(F.trim(F.col("f")[0]).alias("pid"), "aliases"), told.where("reason is not null").select("value", "reason")
+
+
 def triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(subject, predicate, object) of lines of exactly three fields with their letters, and the rejects."""
     at = lambda i: F.try_element_at("f", F.lit(i))

@@ -47,6 +47,17 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", lateness: str = "
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def followed_by(first: DataFrame, then: DataFrame, within: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
+    """(user_id, first_id, then_id) of two streams of events: what a user did at the same time as the first or up to ``within`` after it.
+
+    Both sides carry a watermark, so state older than lateness and interval is dropped, and so are rows later than that.
+    """
+    a = first.select("user_id", F.col("event_id").alias("first_id"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", lateness)
+    b = then.select(F.col("user_id").alias("_user"), F.col("event_id").alias("then_id"), F.col("ts").cast("timestamp").alias("then_at")).withWatermark("then_at", lateness)
+    near = (F.col("_user") == F.col("user_id")) & (F.col("then_at") >= F.col("at")) & (F.col("then_at") <= F.col("at") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select("user_id", "first_id", "then_id")
+
+
 def quotas(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Per user, windows that begin at their first event and end ``seconds`` later; events beyond the limit are refused.
 
