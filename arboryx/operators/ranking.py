@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arboryx.functions.vectors import l2_normalise
 from arboryx.lineage import cut
 
 
@@ -144,3 +145,15 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def hash_split(df: DataFrame, key: str, share: float) -> Column:
     """True for about ``share`` of keys, the same in every run: the first 8 hex digits of an md5."""
     return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") < int(share * 2**32)
+
+
+def reassigned(clustered: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, cluster) of unit vectors (id, v, cluster): those of cluster -1 go to the centroid (cluster, v) of the largest cosine.
+
+    Ids are whole numbers. Equal cosines go to the smaller cluster; without any centroid noise stays noise.
+    """
+    apart = F.lit(-(1 << 62))  # a centroid never has the id of a vector, which ``nearest`` would leave out
+    unit = centroids.select((F.col("cluster") + apart).alias("id"), l2_normalise(F.col("v")).alias("v"))
+    noise = clustered.where("cluster = -1").select(F.col("id").cast("long").alias("id"), "v")
+    found = nearest(unit, noise, 1).select(F.col("query_id").alias("id"), (F.col("id") - apart).cast(clustered.schema["cluster"].dataType).alias("_to"))
+    return clustered.join(found, "id", "left").select("id", F.when(F.col("cluster") == -1, F.coalesce("_to", "cluster")).otherwise(F.col("cluster")).alias("cluster"))

@@ -60,28 +60,6 @@ def cascade(groups: DataFrame, candidates: DataFrame, aliases: DataFrame, types:
     return minted.select(*keys, "mentions", "tier", "entity", F.coalesce("name", "text").alias("label"), confidence.alias("confidence"), "reason")
 
 
-def resolve_by_hand(nodes: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` (id, external_id, tier, open, ...) after decisions (id, external_id), and (id, done) for each decision.
-
-    A decision that gives an external id sets it and tier 1; each closes the node's question; of several for one
-    node the largest external id counts. One for an unknown node is not done.
-    """
-    one = decisions.groupBy("id").agg(F.max("external_id").alias("_given"), F.lit(True).alias("_decided"))
-    after = nodes.join(one, "id", "left").withColumns(
-        {"external_id": F.coalesce("_given", "external_id"), "tier": F.when(F.col("_given").isNotNull(), 1).otherwise(F.col("tier")), "open": F.col("open") & F.col("_decided").isNull()}
-    )
-    done = one.join(nodes.select("id", F.lit(True).alias("_there")).distinct(), "id", "left").select("id", F.coalesce("_there", F.lit(False)).alias("done"))
-    return after.select(*nodes.columns), done
-
-
-def mark_runs(nodes: DataFrame, marks: DataFrame) -> DataFrame:
-    """``nodes`` with the run ids of marks (id, run_id) appended to the array ``runs``, each once, new ones in order."""
-    new = marks.groupBy("id").agg(F.sort_array(F.collect_set("run_id")).alias("_new"))
-    none = F.array().cast("array<string>")
-    merged = F.array_union(F.coalesce("runs", none), F.coalesce("_new", none))
-    return nodes.join(new, "id", "left").withColumn("runs", merged).select(*nodes.columns)
-
-
 def concept_tags(label, tags, entity_type):
     """The trimmed label, the other tags once each, the entity type; ``concept`` where all are missing."""
     given = F.filter(F.concat(F.array(F.trim(label)), F.coalesce(tags, F.array().cast("array<string>")), F.array(entity_type)), lambda x: x.isNotNull() & (x != ""))

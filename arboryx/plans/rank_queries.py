@@ -142,10 +142,14 @@ _CENT = f"""{_UNIT}, dims AS (SELECT label, i, avg(v[i]) AS m FROM unit, range(1
 cent AS (SELECT label, list(m ORDER BY i) AS v FROM dims GROUP BY label)"""
 
 
+def _centroids_of(unit, label):
+    each = unit.select(label, F.posexplode("v").alias("i", "x"))
+    means = each.groupBy(label, "i").agg(F.avg("x").alias("m"))
+    return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+
+
 def _centroids(t):
-    each = _unit(t).select("label", F.posexplode("v").alias("i", "x"))
-    means = each.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+    return _centroids_of(_unit(t), "label")
 
 
 @query(f"WITH {_CENT} SELECT label, round(list_aggregate(v, 'sum') + 1e-11, 8) AS total, round(sqrt(list_inner_product(v, v)) + 1e-11, 8) AS length FROM cent")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arboryx.sources import ledger, text_files
+from arboryx.operators import ranking, watch
+from arboryx.sources import ledger, qa, text_files
 from arboryx.streaming import jobs
 
+from .rank_queries import _centroids_of, _unit
 from .registry import query
 from .source_queries import _folder, _stream
 
@@ -40,14 +42,14 @@ def _reports(t):
 def report_window(t):
     """Reports of one type in the five and a half days before a moment, as a scan from the newest finds them."""
     views = ledger.read_reports(t.spark, _reports(t), "view")
-    out = ledger.in_window(views, F.lit("2024-02-01 00:00:00").cast("timestamp"), 5.5)
+    out = ledger.scanned(views, F.lit("2024-02-01 00:00:00").cast("timestamp"), 5.5)
     return out.select("run_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
 
 
 @query(f"WITH {_REPORTS}, n AS (SELECT *, row_number() OVER (PARTITION BY report_type ORDER BY run_id DESC) AS i FROM r) SELECT report_type, run_id, started_at FROM n WHERE i <= 50")
 def report_retention(t):
     """The fifty newest reports of each type, which a prune would keep."""
-    kept = ledger.newest_per_type(ledger.read_reports(t.spark, _reports(t)), 50)
+    kept = watch.newest_of_type(ledger.read_reports(t.spark, _reports(t)), "report_type", "run_id", 50)
     return kept.select("report_type", "run_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
 
 
@@ -88,3 +90,40 @@ def stream_followed_by(t):
     views, purchases = _stream(t, "events").where("event_type = 'view'"), _stream(t, "events").where("event_type = 'purchase'")
     jobs.drain(jobs.followed_by(views, purchases, lateness="2 hours"), lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/epoch={n}"), f"{path}/log")
     return t.spark.read.parquet(f"{path}/out").select("user_id", "first_id", "then_id")
+
+
+@query(
+    "WITH c AS (SELECT p_partkey AS idx, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END || ' ' || p_size AS title FROM part),"
+    " first_ AS (SELECT lower(trim(title)) AS title, min(idx) AS idx FROM c GROUP BY 1),"
+    " q AS (SELECT o_orderkey, list(DISTINCT lower(p_name) || ' ' || (p_size + l_linenumber % 2)) AS titles FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1),"
+    " g AS (SELECT o_orderkey, list(DISTINCT idx ORDER BY idx) AS golds FROM (SELECT o_orderkey, unnest(titles) AS title FROM q) JOIN first_ USING (title) GROUP BY 1)"
+    " SELECT CAST(o_orderkey AS VARCHAR) AS qid, o_orderpriority AS answer, CASE WHEN o_orderkey % 3 = 0 THEN 'x|y' ELSE '' END AS aliases, array_to_string(golds, '|') AS golds FROM g JOIN orders USING (o_orderkey) WHERE o_orderkey % 4 <> 1"
+)
+def qa_questions(t):
+    """Orders as questions whose gold passages are parts by title, in two layouts, written as JSON and read back."""
+    path = _folder(t)
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    t.part.select(F.col("p_partkey").alias("idx"), F.concat_ws(" ", name, "p_size").alias("title"), F.col("p_type").alias("text")).write.json(f"{path}/corpus")
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(" ", "p_name", F.col("p_size") + F.col("l_linenumber") % 2).alias("title"))
+    asked = t.orders.join(lines.groupBy("o_orderkey").agg(F.collect_set("title").alias("titles")), "o_orderkey")
+    key = F.col("o_orderkey")
+    facts = F.when(key % 2 == 0, F.transform("titles", lambda x: F.array(x, F.lit("0"))))
+    paragraphs = F.when(key % 2 == 1, F.transform("titles", lambda x: F.struct(F.concat(x, F.lit(" ")).alias("title"), F.lit(True).alias("is_supporting"))))
+    asked.select(
+        key.cast("string").alias("id"), F.col("o_orderpriority").alias("question"), F.when(key % 4 == 0, F.col("o_orderpriority")).alias("answer"),
+        F.when(key % 4 >= 2, F.col("o_orderpriority")).alias("obj"), F.when((key % 3 == 0) & (key % 4 != 1), F.array(F.lit("x"), F.lit("y"), F.col("o_orderpriority"))).alias("answer_aliases"), facts.alias("supporting_facts"), paragraphs.alias("paragraphs"),
+    ).write.json(f"{path}/questions")
+    out = qa.questions(*qa.read(t.spark, f"{path}/corpus", f"{path}/questions"))
+    return out.select("qid", "answer", F.array_join("aliases", "|").alias("aliases"), F.array_join("golds", "|").alias("golds"))
+
+
+@query(
+    "WITH unit AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 10 = 3 THEN -1 ELSE label END AS cluster, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),"
+    " dims AS (SELECT cluster, i, avg(v[i]) AS m FROM unit, range(1, 65) r(i) WHERE cluster >= 0 GROUP BY 1, 2), cent AS (SELECT cluster, list(m ORDER BY i) AS v FROM dims GROUP BY cluster),"
+    " s AS (SELECT u.id, c.cluster, round(list_inner_product(u.v, c.v) / sqrt(list_inner_product(c.v, c.v)), 9) AS cosine FROM unit u, cent c WHERE u.cluster = -1)"
+    " SELECT id, cluster FROM unit WHERE cluster >= 0 UNION ALL SELECT id, first(cluster ORDER BY cosine DESC, cluster) FROM s GROUP BY id"
+)
+def noise_reassignment(t):
+    """Vectors of clusters, a tenth of them noise, which goes to the nearest centroid of the others."""
+    unit = _unit(t).withColumn("cluster", F.when(F.col("id") % 10 == 3, -1).otherwise(F.col("label"))).select("id", "v", "cluster")
+    return ranking.reassigned(unit, _centroids_of(unit.where("cluster >= 0"), "cluster"))

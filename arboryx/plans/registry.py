@@ -17,6 +17,8 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(Tables(spark, sf_dir))
 
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql

@@ -1,4 +1,4 @@
-"""Queries of entity resolution, manual decisions, marks and Markdown sections."""
+"""Queries of entity resolution, concept tags and Markdown sections."""
 
 from __future__ import annotations
 
@@ -60,28 +60,6 @@ def entity_resolution(t):
     return resolution.cascade(resolution.mention_groups(_mentions(t)), candidates, aliases, types, accepted, _LANGUAGES)
 
 
-@query(
-    "WITH d AS (SELECT o_custkey AS id, max(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END) AS given FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)"
-    " SELECT c_custkey AS id, coalesce(given, c_mktsegment) AS external_id, CASE WHEN given IS NOT NULL THEN 1 ELSE 0 END AS tier, d.id IS NULL AS open FROM customer LEFT JOIN d ON d.id = c_custkey"
-)
-def manual_resolution(t):
-    """Customers as nodes with an open question; some orders decide it, some of them with an external id."""
-    nodes = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("external_id"), F.lit(0).alias("tier"), F.lit(True).alias("open"))
-    decided = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).alias("external_id"))
-    return resolution.resolve_by_hand(nodes, decided)[0]
-
-
-@query(
-    "WITH m AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS new FROM orders GROUP BY 1)"
-    " SELECT c_custkey AS id, array_to_string(['3-MEDIUM'] || coalesce(list_filter(new, lambda x: x <> '3-MEDIUM'), []), '|') AS runs FROM customer LEFT JOIN m ON m.id = c_custkey"
-)
-def self_reference_marks(t):
-    """Priorities of a customer's orders as run ids, marked once each after one that was there before."""
-    nodes = t.customer.select(F.col("c_custkey").alias("id"), F.array(F.lit("3-MEDIUM")).alias("runs"))
-    marked = resolution.mark_runs(nodes, t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("run_id")))
-    return marked.select("id", F.array_join("runs", "|").alias("runs"))
-
-
 @query(
     "SELECT p_partkey, array_to_string(list_distinct_ordered, '|') AS tags FROM (SELECT p_partkey, list_filter([p_name, p_type, p_brand, p_type], lambda x, i: list_position([p_name, p_type, p_brand, p_type], x) = i) AS list_distinct_ordered FROM part)"
 )

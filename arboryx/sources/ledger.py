@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,7 +34,7 @@ def read_reports(spark: SparkSession, path: str, report_type: str | None = None)
     return rows.where(F.col("report_type") == report_type) if report_type else rows
 
 
-def in_window(reports: DataFrame, now: Column, days: float) -> DataFrame:
+def scanned(reports: DataFrame, now: Column, days: float) -> DataFrame:
     """Reports newer, by run id, than the newest of those that started before ``now`` less ``days``; all if ``days`` is 0."""
     if days <= 0:
         return reports
@@ -42,13 +42,6 @@ def in_window(reports: DataFrame, now: Column, days: float) -> DataFrame:
     return reports.join(F.broadcast(old), F.col("_old").isNull() | (F.col("run_id") > F.col("_old"))).drop("_old")  # one row
 
 
-def newest_per_type(reports: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` reports of the largest run ids of each type, found by ids alone."""
-    order = Window.partitionBy("report_type").orderBy(F.desc("run_id"))
-    ids = reports.select("report_type", "run_id").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
-    return reports.join(ids, ["report_type", "run_id"], "left_semi")
-
-
 def readings(spark: SparkSession, path: str) -> DataFrame:
     """(key, reading) of a JSON-lines cache; the last row of a key wins, rows without a key and torn lines are skipped.
 
