@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, e8, html, lm, mixing, packing, quality, simhash, substring, topk
+from . import align, chat, e8, exact, html, lm, merkle, mixing, packing, quality, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"))).otherwise(F.col("text"))
+    return merkle.verify(docs, changed={"text": tampered})
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -104,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lattice_lm": op8_lattice_lm,
         "op9_lattice": op9_lattice,
         "op10_simhash": op10_simhash,
+        "op11_exact": op11_exact,
+        "op12_merkle": op12_merkle,
+        "op13_alignment": op13_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -154,5 +171,54 @@ FROM c
 """
 
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, sha256(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+           || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+           || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')
+           || CASE WHEN x.t IS NULL THEN '-' ELSE octet_length(encode(x.t)) || ':' || x.t END) AS h, x.k
+  FROM documents, LATERAL (VALUES (0, text), (1, CASE WHEN list_reduce(
+           list_concat([4294967295], flatten(list_transform(CAST(string_split(CAST(doc_id AS VARCHAR), '') AS VARCHAR[]), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) % 2 = 1 THEN replace(text, chr(10), '') ELSE text END)) x(k, t)
+), first AS (
+  SELECT a.doc_id, a.g, a.h, b.h AS seen, CAST(row_number() OVER (PARTITION BY a.g ORDER BY a.doc_id) - 1 AS BIGINT) AS pos,
+         count(*) OVER (PARTITION BY a.g) AS n
+  FROM leaf a JOIN leaf b ON a.doc_id = b.doc_id AND a.k = 0 AND b.k = 1
+), low AS (
+  SELECT 0 AS level, g, pos, h, n FROM first
+  UNION ALL
+  SELECT level + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY level, g, pos // 3
+), sub AS (SELECT g, h, CAST(row_number() OVER (ORDER BY g) - 1 AS BIGINT) AS pos, count(*) OVER () AS n FROM low WHERE n = 1), high AS (
+  SELECT 0 AS level, pos, h, n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY level, pos // 3
+), nodes AS (
+  SELECT level, g, pos, h, n FROM low
+  UNION ALL SELECT h.level, '/', h.pos, h.h, h.n FROM high h
+), beside AS (
+  SELECT a.level, a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.level, a.g, a.pos
+), climb AS (
+  SELECT doc_id, g AS own, g, 0 AS level, pos, seen, '' AS proof FROM first
+  UNION ALL
+  SELECT doc_id, own, CASE WHEN b.pos IS NOT NULL THEN c.g ELSE '/' END, CASE WHEN b.pos IS NOT NULL THEN c.level + 1 ELSE 0 END,
+         CASE WHEN b.pos IS NOT NULL THEN c.pos // 3 ELSE s.pos END,
+         CASE WHEN b.pos IS NOT NULL THEN sha256(l || seen || r) ELSE seen END, CASE WHEN b.pos IS NOT NULL THEN proof || l || r ELSE proof END
+  FROM climb c LEFT JOIN beside b ON b.g = c.g AND b.level = c.level AND b.pos = c.pos LEFT JOIN sub s ON s.g = c.g
+  WHERE b.pos IS NOT NULL OR c.g <> '/'
+), top AS (SELECT doc_id, own, seen, proof FROM climb c LEFT JOIN beside b ON b.g = c.g AND b.level = c.level AND b.pos = c.pos WHERE c.g = '/' AND b.pos IS NULL)
+SELECT t.doc_id, f.h AS leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, t.seen AS folded_root, t.seen = r.h AS verified
+FROM top t JOIN first f ON f.doc_id = t.doc_id JOIN sub s ON s.g = t.own CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op2_chat": OP2_SQL, "op3_topk": OP3_SQL}
+    return {"op1_substring": OP1_SQL, "op2_chat": OP2_SQL, "op3_topk": OP3_SQL, "op11_exact": OP11_SQL, "op12_merkle": OP12_SQL}
