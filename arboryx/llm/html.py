@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -250,7 +250,67 @@ def _end(built: _Builder, name: str) -> None:
 
 _RULE = re.compile(r"([^{};]*)([{};])")
 _COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
-_SHOWN_MEDIA = re.compile(r"(?:only\s+)?(?:all|screen)\b", re.I)
+#: The screen that media conditions are held against, in CSS pixels, and what else is known of it.
+VIEWPORT = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0}
+MEDIA = {
+    "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "none",
+    "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference",
+}
+_LENGTH = re.compile(r"\+?(\d*\.?\d+)(px|em|rem)?")
+_RANGE = re.compile(r"(?:([^<>=]+?)\s*([<>]=?)\s*)?([a-z-]+)\s*(?:([<>]=?|=)\s*([^<>=]+))?")
+_HOLDS = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "=": float.__eq__}
+
+
+def _pixels(value: str) -> float | None:
+    m = _LENGTH.fullmatch(value.strip())
+    return float(m.group(1)) * (16 if m.group(2) in ("em", "rem") else 1) if m and (m.group(2) or not float(m.group(1))) else None
+
+
+def _feature(said: str) -> bool | None:
+    """Whether a condition in parentheses holds; None if it cannot be read."""
+    name, colon, value = (x.strip() for x in said.partition(":"))
+    if colon:
+        side, _, rest = name.partition("-")
+        if side in ("min", "max") and rest in VIEWPORT or name in VIEWPORT:
+            size = _pixels(value)
+            own = VIEWPORT[name if name in VIEWPORT else rest]
+            return None if size is None else own >= size if side == "min" else own <= size if side == "max" else own == size
+        return MEDIA[name] == value if name in MEDIA else None
+    m = _RANGE.fullmatch(name)
+    if not m or m.group(3) not in VIEWPORT:
+        return MEDIA[name] not in ("none", "no-preference") if name in MEDIA else True if name == "color" else None
+    own, holds = VIEWPORT[m.group(3)], True
+    for bound, sign, turned in ((m.group(1), m.group(2), True), (m.group(5), m.group(4), False)):
+        if sign:
+            size = _pixels(bound)
+            if size is None:
+                return None
+            holds = holds and (_HOLDS[sign](size, own) if turned else _HOLDS[sign](own, size))
+    return holds
+
+
+def shown_media(queries: str) -> bool:
+    """Whether a list of media queries holds for VIEWPORT; a query that cannot be read does not."""
+
+    def one(query: str) -> bool:
+        result, negated = True, False
+        for number, part in enumerate(re.split(r"\band\b", query)):
+            part = part.strip()
+            head, _, _ = part.partition("(")
+            words = head.split()
+            if number == 0 and words[:1] in (["not"], ["only"]):
+                negated = words.pop(0) == "not"
+            inside = part[len(head) :]
+            if inside:
+                holds = _feature(inside[1:-1].strip()) if not words and inside.endswith(")") and inside.count("(") == 1 else None
+            else:
+                holds = {"all": True, "screen": True, "print": False, "speech": False}.get(words[0]) if number == 0 and len(words) == 1 else None
+            if holds is None:
+                return False
+            result = result and holds
+        return result != negated
+
+    return not queries.strip() or any(one(q) for q in queries.lower().split(","))
 
 
 def _declared(block: str) -> dict[str, tuple[bool, str]]:
@@ -270,10 +330,12 @@ class Styles:
     """Rules of a page's style sheets that show or hide: selectors of one element's name, classes and id.
 
     Selectors with combinators, attributes or pseudo-classes, and rules for other media, are passed over.
+    Rules of equal selectors are one, which keeps what wins of each property; a rule is looked up by the
+    rarest of its marks; and elements that are alike are judged once.
     """
 
     def __init__(self, root: Node):
-        self.rules, number, todo = defaultdict(list), 0, [root]
+        merged, number, todo = {}, 0, [root]
         while todo:
             node = todo.pop()
             if node.tag == "style":
@@ -286,9 +348,16 @@ class Styles:
                         tag, marks = (m.group(1) or "*").lower(), re.findall(r"[.#][\w-]+", m.group(2))
                         need = frozenset(marks)
                         weight = (sum(x[0] == "#" for x in marks), len(marks), tag != "*", number)
-                        self.rules[marks[0] if marks else tag].append((weight, tag, need, found))
                         number += 1
+                        own = merged.setdefault((tag, need), {})
+                        for name, (important, value) in found.items():
+                            if name not in own or (important, *weight) >= own[name][0]:
+                                own[name] = ((important, *weight), value)
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        self.rules, self.known = defaultdict(list), {}
+        often = Counter(m for _, need in merged for m in need)
+        for (tag, need), own in merged.items():
+            self.rules[min(need, key=lambda m: (often[m], m)) if need else tag].append((tag, need, own))
 
     @staticmethod
     def _blocks(css: str):
@@ -304,7 +373,7 @@ class Styles:
                     body.append(words)
             elif heads:
                 head, around = heads.pop(), heads
-                if not head.startswith("@") and all(x.lower().startswith("@media") and _SHOWN_MEDIA.match(x[6:].strip()) for x in around):
+                if not head.startswith("@") and all(x.lower().startswith("@media") and shown_media(x[6:]) for x in around):
                     yield head, ";".join([*body, words])
                 body = []
 
@@ -315,21 +384,24 @@ class Styles:
         seen = None
         if not self.rules and "style" not in attrs:
             return shown, seen
+        like = tag, attrs.get("class"), attrs.get("id"), attrs.get("style"), shown
+        if like in self.known:
+            return self.known[like]
         marks = {"." + c for c in attrs.get("class", "").split()} | ({"#" + attrs["id"]} if attrs.get("id") else set())
-        found = [r for key in (tag, "*", *marks) for r in self.rules.get(key, ()) if r[1] in (tag, "*") and r[2] <= marks]
         values: dict[str, tuple] = {}
-        declared = [(weight, block) for weight, _, _, block in found]
+        found = [own for key in (tag, "*", *marks) for of, need, own in self.rules.get(key, ()) if of in (tag, "*") and need <= marks]
         if "style" in attrs:
-            declared.append(((9, 9, 9, 9), _declared(attrs["style"])))
-        for weight, block in declared:
-            for name, (important, value) in block.items():
-                if name not in values or (important, *weight) >= values[name][0]:
-                    values[name] = ((important, *weight), value)
+            found.append({name: ((important, 9, 9, 9, 9), value) for name, (important, value) in _declared(attrs["style"]).items()})
+        for own in found:
+            for name, (weight, value) in own.items():
+                if name not in values or weight >= values[name][0]:
+                    values[name] = (weight, value)
         if "display" in values and tag not in UNSEEN:
             shown = values["display"][1] != "none"
         if "visibility" in values:
             value = values["visibility"][1]
             seen = False if value in ("hidden", "collapse") else True if value in ("visible", "initial") else None
+        self.known[like] = shown, seen
         return shown, seen
 
 

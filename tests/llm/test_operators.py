@@ -89,7 +89,7 @@ def test_substring_takes_hot_minimizers_apart(docs, monkeypatch, hot_edges):
     monkeypatch.setattr(substring, "COUNTED", 1)
     monkeypatch.setattr(substring, "CHUNK_BYTES", 500)
     compared = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", substring.variant_of("text"), "text")
-    assert len(substring.hot_bits(compared, 20))
+    assert len(substring.hot_minimizers(compared, 20))
     assert by_id(substring.remove_repeats(docs)) == removed(documents())
 
 
@@ -108,7 +108,7 @@ def test_substring_buckets_of_a_common_phrase():
         rows = substring._ship(ids, ids, texts, 20, 64, np.array(hot, np.int64), powers)
         return max(len(r[7]) // 6 for r in rows)
 
-    hot = np.unique(substring._bit(np.array(list(per), np.uint64)))
+    hot = np.unique(np.array(list(per), np.uint64).view(np.int64))
     assert largest([]) >= edges > 2 * largest(hot)
 
 
@@ -321,6 +321,36 @@ def test_html_attributes_lists_and_styles():
     assert show("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span></div>") == "b"
 
 
+@pytest.mark.parametrize(
+    "query,holds",
+    [
+        ("", True), ("screen", True), ("print", False), ("only screen and (min-width: 600px)", True), ("screen and (max-width:1px)", False),
+        ("print, (orientation: landscape)", True), ("(min-width:20em) and (max-width:90em)", True), ("not print", True), ("not screen and (max-width:1px)", True),
+        ("not all", False), ("(width >= 600px)", True), ("(400px <= width < 700px)", False), ("(height=800px)", True), ("(hover)", True), ("(prefers-color-scheme: dark)", False),
+        ("(min-width: 3furlongs)", False), ("not (some-thing)", False), ("screen or print", False), ("tty", False), ("(min-width: 0)", True),
+    ],
+)
+def test_html_media(query, holds):
+    """Rules for other screens hide nothing; a condition that cannot be read does not hold."""
+    assert html.shown_media(query) is holds
+    assert html.render(html.parse(f"<style>@media {query or 'all'}{{p{{display:none}}}}</style><p>text")) == ("" if holds else "text")
+
+
+def test_html_equal_rules_are_one():
+    show = lambda s: html.render(html.parse(s))
+    assert show("<style>p{display:none}p{display:block}</style><p>x") == "x" and show("<style>p{display:none!important}p{display:block}</style><p>x") == ""
+    assert show("<style>.a.b{display:none}.b{display:block}</style><p class='b a'>x<p class=b>y") == "y"
+    assert show("<style>p{visibility:hidden}p{display:block}</style><p>x<p style='visibility:visible'>y") == "y"
+
+
+def test_text_ids_are_an_error(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.remove_repeats(df)
+    with pytest.raises(TypeError, match="whole numbers"):
+        lm.score(df, F.lit(False), VOCABULARY)
+
+
 def test_html_tables_keep_all_text():
     show = lambda s: html.render(html.parse(s))
     assert show("<table><tr>stray<td>a<td>b</tr>loose<tbody>more<tr><form><td>c<td>d</form></table>") == "strayloosemore\n\na | b\nc | d"
@@ -358,6 +388,9 @@ SHAPES = {
     "spans": "<table><tr>" + "<td rowspan=60000>x" * 5000 + "<tr><td>y" * 5000,
     "items": "<ul>" * 250 + "<li>x" * 20000,
     "long text": "word " * 400000,
+    "rules of a name": "<style>" + "p{display:block}" * 3000 + "</style>" + "<p>x" * 3000,
+    "rules of a class": "<style>" + ".a{visibility:visible}" * 3000 + "</style>" + "<p class=a>x" * 3000,
+    "rules of many classes": "<style>" + "".join(f".a.b{i}{{display:none}}" for i in range(3000)) + "</style>" + "".join(f"<p class='a c{i}'>x" for i in range(3000)),
 }
 
 
@@ -367,7 +400,7 @@ def test_html_is_linear(shape):
 
     began = time.process_time()
     shown = html.render(html.parse(SHAPES[shape]))
-    assert time.process_time() - began < 8 and len(shown) < 2 * len(SHAPES[shape]) + 2_000_000
+    assert time.process_time() - began < (2 if "rules" in shape else 8) and len(shown) < 2 * len(SHAPES[shape]) + 2_000_000
 
 
 def test_html_frame(spark):
@@ -386,7 +419,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     rows = packing.pack_documents(docs, TOKENIZER, window=256).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -408,15 +440,19 @@ def test_packing(docs):
         assert at <= 256 and (at == 256 or at & (at - 1) == 0)
 
 
-def test_word_tokenizer_is_exact():
+@pytest.mark.parametrize("plain", [False, True])
+def test_word_tokenizer_is_exact(plain):
+    """Special tokens' strings are tokens as in the library's own call, or text on demand."""
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
-    mine = packing.WordTokenizer(TOKENIZER, cached_words=50)
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = plain
+    mine = packing.WordTokenizer(TOKENIZER, cached_words=50, plain=plain)
     texts = ["It's 12 o'clock, we'LL go…", "<|endoftext|> é É ß µ ½ ª", "a\x1cb\x85c d", "ΣΑΣ 中文 😀", "", "'s't", "ﬁ é", "x" * 300, *[d[1] or "" for d in documents()]]
     texts += [f"a{chr(c)}b{chr(c)}{chr(c)} {chr(c)}1" for c in range(1, 0x180)]
-    assert [x.tolist() for x in mine.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["hello <|endoftext|> world", "<|startoftext|><|ENDOFTEXT|>", "a<|endoftext|>"]
+    assert [x.tolist() for x in mine.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert (49407 in mine.encode_all(["hello <|endoftext|> world"])[0].tolist()) != plain
 
 
 @pytest.mark.parametrize("levels", [20, 5])
