@@ -28,15 +28,18 @@ class WordTokenizer:
     """Ids of a word-level BPE file (splits words first, marks word ends), with a bounded cache of words.
 
     Texts in PLAIN are split here and each distinct word is encoded once; other texts are encoded
-    by the library as they are. Special tokens' strings in a text are ordinary text.
+    by the library as they are. A special token's string in a text is that token, as the library has it;
+    with ``plain`` it is ordinary text.
     """
 
-    def __init__(self, path: str, cached_words: int = 500_000):
+    def __init__(self, path: str, cached_words: int = 500_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
+        self.special = re.compile("|".join(map(re.escape, special))) if special and not plain else None
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -61,7 +64,8 @@ class WordTokenizer:
                     self.cache[w] = self._ids(w).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in texts]
+        marked = self.special.search if self.special else lambda t: None
+        split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and not marked(t) else None for t in texts]
         known = self.cache
         used = set().union(*filter(None, split))
         new = used.difference(known)
@@ -77,9 +81,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, plain: bool = False) -> WordTokenizer:
     """One tokenizer per Python worker, whose cache of words serves all tasks that the worker runs."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, plain=plain)
 
 
 class SumOfSquares:
@@ -184,7 +188,7 @@ def pack(docs: Iterator[tuple[object, np.ndarray]], window: int = WINDOW) -> Ite
     yield from packer.finish()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, plain: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` tokens.
 
     Returns per piece (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids binary]).
@@ -193,7 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     carries the partition's number in its upper bits: a rerun over the same files and split size agrees,
     another split of the input packs and numbers anew.
 
-    Null texts count as empty: their document is the end id alone. Repeated rows are packed once
+    Special tokens' strings in texts are those tokens, or with ``plain`` ordinary text. Null texts count as
+    empty: their document is the end id alone. Repeated rows are packed once
     each, rows without an id like any other. A very long text fills windows of its own. An empty table
     gives no row. Extra columns are not looked at.
     """
@@ -201,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        tok, base = shared_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        tok, base = shared_tokenizer(tokenizer_path, plain), TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4")
 
         def rows():
