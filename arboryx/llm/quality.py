@@ -28,7 +28,7 @@ def features(text: str | None, dim: int = DIM) -> np.ndarray:
     words = raw.split()
     low = [w.lower() for w in set(words)]
     names = {b"w" + w.strip(b".,;:!?\"'()") for w in low}
-    names |= {b"m" + m[:8] for w in low for m in _MARKS.findall(w)}
+    names |= {b"m" + m for w in low for m in _MARKS.findall(w)}
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n = max(1, len(raw))
     share = {
