@@ -14,6 +14,13 @@ from ..operators import graph
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    """Raises a TypeError unless the ids are whole numbers."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; ids must be whole numbers here")
+
+
 def tiled(df: DataFrame, keys: Sequence[str], id_col: str, cap: int) -> DataFrame:
     """Split groups that hold more than ``cap`` rows into pairs of blocks.
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..lineage import cut
+from .common import integer_ids
 
 CHUNK_BYTES = 6 << 20
 #: Words longer than this (in bytes) go through the lattice one by one.
@@ -319,11 +320,12 @@ def score(docs: DataFrame, held_out: Column, vocabulary_path: str, id_col: str =
     over pieces alone. The tables of words and phrases grow with the corpus and stay in Spark; only a few
     numbers and a count for each of the vocabulary's pieces reach the driver. Phrases are told apart by 64 bits.
 
-    Null texts are empty (the end alone), repeated rows are scored, and learnt from, once each; rows
+    Ids are whole numbers; others raise a TypeError. Null texts are empty (the end alone), repeated rows are scored, and learnt from, once each; rows
     without an id are scored too. A null ``held_out`` counts as not held out. Without any training
     document pieces alone score, and ``base_score`` is that of equal chances. An empty table gives no
     row; extra columns are not looked at.
     """
+    integer_ids(docs, id_col)
     pieces, logp = vocabulary(vocabulary_path)
     held = F.coalesce(held_out, F.lit(False)).alias("held")
     schema = "chunk long, ids array<long>, " + ", ".join(f"{c} binary" for c in _NAMES[2:])

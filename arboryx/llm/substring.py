@@ -27,17 +27,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import cut
+from .common import integer_ids
+
 #: Words of a minimizer.
 MINIMIZER = 5
 #: Text bytes that a task works on at a time (a longer document is worked on whole), and those whose edges share a bucket on average.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
-#: Edges from which on a minimizer's paths are taken apart, and of how many different paths one is counted to find them.
-HOT_EDGES = 500_000
+#: Edges from which on a minimizer's paths are taken apart, if they are also more than 1 / HOT_MINIMIZERS of all edges (so
+#: no more minimizers than that are hot), and of how many different paths one is counted to find them.
+HOT_EDGES, HOT_MINIMIZERS = 500_000, 1_000_000
 COUNTED = 256
-#: Bits that tell hot minimizers, which is the size of what tasks are sent; two minimizers of one bit are both taken apart.
-HOT_BITS = 1 << 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -142,10 +144,6 @@ def _counted(texts: list[bytes], k: int, every: int, powers) -> tuple[np.ndarray
     return minimizer[at], n[at]
 
 
-def _bit(minimizer: np.ndarray) -> np.ndarray:
-    return (_mixed(minimizer) % np.uint64(HOT_BITS)).astype(np.int64)
-
-
 def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buckets: int, hot: np.ndarray, powers):
     """Rows for the buckets from one chunk of documents, ordered by id."""
     words, doc = hashed_words(texts, powers)
@@ -168,7 +166,7 @@ def _ship(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int, buc
     repeats = np.stack([repeats[0], repeats[1], repeats[2], repeats[3], repeats[4]], axis=1).astype("<u4")
     keep = np.flatnonzero(~later)
     # from here on a hot minimizer's path is as many paths as it has edges
-    apart = np.isin(_bit(minimizer[keep]), hot)
+    apart = np.isin(minimizer[keep].view(np.int64), hot)
     pieces = np.where(apart, n[keep], 1)
     apart, keep = np.repeat(apart, pieces), np.repeat(keep, pieces)
     step = np.arange(len(keep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -260,8 +258,8 @@ def _chunks(batches, size: int):
         yield [rows[key] for key in sorted(rows)]
 
 
-def hot_bits(compared: DataFrame, k: int) -> np.ndarray:
-    """Bits of the minimizers of ``HOT_EDGES`` edges or more, in order; at most ``HOT_BITS``, however large the table.
+def hot_minimizers(compared: DataFrame, k: int) -> np.ndarray:
+    """Minimizers of too many edges for one bucket, as signed numbers in order; at most ``HOT_MINIMIZERS``, however large the table.
 
     One of ``COUNTED`` different paths of every chunk of every document is counted, so it is an estimate. It
     only decides which way edges travel; the repeats found are the same whatever it says.
@@ -273,18 +271,20 @@ def hot_bits(compared: DataFrame, k: int) -> np.ndarray:
         powers = _Powers(_BASE), _Powers(_INVERSE)
         for rows in _chunks(batches, chunk_bytes):
             minimizer, n = _counted([r[2] for r in rows], k, every, powers)
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(minimizer)), pa.array(n.astype(np.int64))], names=["bit", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(minimizer.view(np.int64)), pa.array(n.astype(np.int64))], names=["minimizer", "n"])
 
-    counts = compared.mapInArrow(count, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n"))
-    return np.sort(counts.where(F.col("n") >= HOT_EDGES / every).select("bit").toPandas()["bit"].to_numpy(np.int64))
+    counts = cut(compared.mapInArrow(count, "minimizer long, n long").groupBy("minimizer").agg(F.sum("n").alias("n")))
+    least = max(HOT_EDGES / every, (counts.agg(F.sum("n")).first()[0] or 0) / HOT_MINIMIZERS)
+    return np.sort(counts.where(F.col("n") >= least).select("minimizer").toPandas()["minimizer"].to_numpy(np.int64))
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Repeated edges as runs (doc, variant, start, n, src_doc, src_start), not yet compacted across buckets."""
+    integer_ids(docs, id_col)
     text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(text_bytes / BUCKET_BYTES))
     compared = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), variant_of(text_col), text_col)
-    hot, chunk_bytes = hot_bits(compared, k), CHUNK_BYTES
+    hot, chunk_bytes = hot_minimizers(compared, k), CHUNK_BYTES
 
     def edges(batches):
         powers = _Powers(_BASE), _Powers(_INVERSE)
@@ -304,7 +304,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``n_words`` words of the document from word ``start`` (from 0) also stand at ``src_start`` of
     ``src_doc``, earlier: in a smaller id, or before in the same document. Every repeated edge is in
     one span, and its source is the first place of all where it stands (or, within one task's
-    chunk, the first place there). ``variant`` is a hash of the text, which tells rows of one id apart.
+    chunk, the first place there). Ids are whole numbers; others raise a TypeError. ``variant`` is a hash of the text, which tells rows of one id apart.
     """
     runs = repeated_runs(docs, id_col, text_col, k).withColumn("diagonal", F.col("src_start") - F.col("start"))
     key = ["doc", "variant", "src_doc", "diagonal"]
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, carry: bool = False) -> DataFrame:
     """Removes each word that a repeated edge covers: (id, n_words, n_removed, kept).
 
-    Words are what stands between spaces and U+0009 to U+000D; ``kept`` joins the kept ones by one
+    Ids are whole numbers; others raise a TypeError. Words are what stands between spaces and U+0009 to U+000D; ``kept`` joins the kept ones by one
     space. Whether an edge is repeated is judged on the input. Documents of fewer than ``k`` words lose
     nothing, a null text has no words. Rows that share an id are compared like other documents,
     save that the same words at the same start do not count as earlier. A null id is never compared.
