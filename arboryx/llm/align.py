@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..lineage import shared_folder
 
 #: Text that one task aligns at a time; the pairs of a chunk are counted together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens after which a document goes on in a lane of its own, and how far a common end is looked for.
 LANE, LOOK = 4096, 256
 #: How the byte-level file splits texts before it merges.
@@ -60,14 +60,14 @@ class Pair:
 
     def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by A and B of each text; none for empty texts and those whose bytes A or B does not give back."""
-        none, out = np.empty(0, np.int64), []
+        none, out = np.empty(0, np.int32), []
         for at in range(0, len(texts), 256):
             some = [t or "" for t in texts[at : at + 256]]
             for text, b in zip(some, self.b.encode(some, num_threads=1)):
                 whole = " " + text
                 a = self.a.encode_ordinary(whole) if text else []
                 same = a and b"".join(map(self.bytes_a.__getitem__, a)) == whole.encode() == b"".join(map(self.bytes_b.__getitem__, b))
-                out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
+                out.append((np.array(a, np.int32), np.array(b, np.int32)) if same else (none, none))
         return out
 
 
@@ -83,7 +83,7 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, i: np.ndarray, j: np.ndarra
     together. All lanes take a step at a time: of the two tokens under its pointers the one that ends
     first is passed, or both with a link and a cut. Finished lanes leave the state vectors.
     """
-    match = np.full(len(ends_a), -1, np.int64)
+    match = np.full(len(ends_a), -1, np.int32)
     while len(i):
         a, b = ends_a[i], ends_b[j]
         both = a == b
@@ -122,7 +122,8 @@ def align_chunk(pair: Pair, texts: list[str | None]) -> dict:
     """Counts, group digests and links of documents that are aligned together."""
     ids = pair.ids(texts)
     n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-    a, b = (np.concatenate([x[k] for x in ids] or [np.empty(0, np.int64)]) for k in (0, 1))
+    a, b = (np.concatenate([x[k] for x in ids] or [np.empty(0, np.int32)]) for k in (0, 1))
+    del ids
     ends_a, ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])  # both run on over all documents, of as many bytes
     last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
     has = n_a > 0
@@ -132,12 +133,12 @@ def align_chunk(pair: Pair, texts: list[str | None]) -> dict:
     doc = np.repeat(np.arange(len(texts)), n_a)[link_a]
     n_links = np.bincount(doc, minlength=len(texts))
     # each link ends a group: A's tokens of the group, then B's
-    ends_group_a, ends_group_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    ends_group_a, ends_group_b = np.zeros(len(a), np.int32), np.zeros(len(b), np.int32)
     ends_group_a[link_a] = 1
     ends_group_b[link_b] = 1
-    group_a, group_b = np.cumsum(ends_group_a) - ends_group_a, np.cumsum(ends_group_b) - ends_group_b
+    group_a, group_b = np.cumsum(ends_group_a, dtype=np.int32) - ends_group_a, np.cumsum(ends_group_b, dtype=np.int32) - ends_group_b
     ends_group_b[last_b[has] - 1] = 2
-    said = np.empty(len(a) + len(b), np.int64)
+    said = np.empty(len(a) + len(b), np.int32)
     said[np.arange(len(a)) + np.concatenate([[0], link_b[:-1] + 1])[group_a] if len(a) else []] = 2 * a + ends_group_a
     said[np.arange(len(b)) + (link_a + 1)[group_b] if len(b) else []] = 2 * len(pair.bytes_a) + 3 * b + ends_group_b
     digests, at = [], 0
@@ -145,7 +146,7 @@ def align_chunk(pair: Pair, texts: list[str | None]) -> dict:
         text = b"".join(map(pair.said.__getitem__, said[at : at + n].tolist()))
         digests.append(hashlib.sha256(text).hexdigest() if n else "")
         at += n
-    links = a[link_a] << 32 | b[link_b]
+    links = a[link_a].astype(np.int64) << 32 | b[link_b]
     return {"n_a": n_a, "n_b": n_b, "n_links": n_links, "groups_sha256": digests, "links": links}
 
 
