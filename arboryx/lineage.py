@@ -39,3 +39,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         before += n
     offset = F.create_map(*[F.lit(x) for pair in start.items() for x in pair])[F.col("_part")] if start else F.lit(0)
     return kept.withColumn(name, (F.col("_at") + offset).cast("long")).drop("_part", "_at")
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` as the broadcast side of a join if it has no more than ``rows`` rows, else as it is; it is counted, so store it before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

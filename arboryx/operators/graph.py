@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboryx.lineage import cut
+from arboryx.lineage import cut, numbered
 
 
 def conducting(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
@@ -54,7 +54,33 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.select(F.col("e.src").alias("id"), F.col("e.dst").alias("neighbour")).where("id <> neighbour").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4, co_locate: bool = False) -> DataFrame:
+#: Queries that may travel as columns of one row a node; out-edges from which on a source is dealt to several tasks.
+WIDE_QUERIES, HOT_DEGREE = 64, 200_000
+
+
+def _stored_by_source(edges: DataFrame, normal: bool, beta: float) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` (src, dst, cond) with a ``salt``, stored by (src, salt), and (src, salts) of the sources of more than HOT_DEGREE edges (None: there are none).
+
+    ``normal`` divides by what leaves the source, ``beta`` > 0 by in-degree ** beta. The edges are made once. A hot
+    source's lie in as many partitions as it has salts, so no task holds more than about HOT_DEGREE of one.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = cut(edges.select("src", "dst", "cond"))
+    per = cut(base.groupBy("src").agg(F.count("*").alias("n"), F.sum("cond").alias("_out")))
+    many = cut(per.where(F.col("n") > HOT_DEGREE).select("src", F.ceil(F.col("n") / HOT_DEGREE).cast("int").alias("salts")))
+    out = base.withColumn("salt", F.lit(0))
+    if normal:
+        out = out.join(per.select("src", "_out"), "src").withColumn("cond", F.col("cond") / F.greatest("_out", F.lit(1e-12))).drop("_out")
+    if beta:
+        penalty = in_degree(base).select(F.col("id").alias("dst"), F.pow(F.greatest("in_degree", F.lit(1)), F.lit(beta)).alias("_p"))
+        out = out.join(penalty, "dst").withColumn("cond", F.col("cond") / F.col("_p")).drop("_p")
+    if many.isEmpty():
+        return cut(out.repartition(n, "src")), None
+    salted = out.join(many, "src", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    return cut(salted.repartition(n, "src", "salt")), many
+
+
+def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4) -> DataFrame:
     """Spreading activation of many queries at once.
 
     ``seeds`` is (query_id, id, x), ``edges`` (src, dst, cond). ``raw``: x <- damping * A'x, the last
@@ -64,28 +90,49 @@ def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int
     in_degree ** beta. ``trace`` returns all frames with their iteration.
 
     Normalising and the penalty are part of the stored edges, so a hop is one join and one aggregation
-    with map-side combine. ``co_locate`` stores the edges by source, so that only frontiers move; leave
-    it off for graphs whose sources are not bounded (see evolve.saturated), then AQE splits hot ones.
+    with map-side combine. Edges are stored by their source, hot sources in several parts, so only
+    activation moves. Up to WIDE_QUERIES queries are columns of one row per node (null: not reached),
+    so a hop moves a row per node and not one per node and query; more are rows.
     """
-    graph = edges.select("src", "dst", "cond") if operator in ("raw", "accumulate") else row_normalised(edges)
-    if beta:
-        penalty = in_degree(edges).select(F.col("id").alias("dst"), F.pow(F.greatest("in_degree", F.lit(1)), F.lit(beta)).alias("_p"))
-        graph = graph.join(penalty, "dst").select("src", "dst", (F.col("cond") / F.col("_p")).alias("cond"))
-    graph = cut(graph.repartition("src") if co_locate else graph)
-    seed = seeds.groupBy("query_id", "id").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    graph, hot = _stored_by_source(edges, operator not in ("raw", "accumulate"), beta)
+    seeds = cut(seeds.select("query_id", "id", F.col("x").cast("double").alias("x")))
+    queries = [r[0] for r in seeds.select("query_id").distinct().limit(WIDE_QUERIES + 1).collect()]
+    wide = len(queries) <= WIDE_QUERIES
+    key = ["id"] if wide else ["query_id", "id"]
+    if wide:
+        names = [f"x{i}" for i in range(len(queries))]
+        seed = seeds.groupBy("id").agg(*[F.sum(F.when(F.col("query_id").eqNullSafe(F.lit(q)), F.col("x"))).alias(c) for c, q in zip(names, queries)])
+    else:
+        names, seed = ["x"], seeds.groupBy(*key).agg(F.sum("x").alias("x"))
+    seed = cut(seed) if names else seed
+
+    def told(x: DataFrame) -> DataFrame:
+        if not wide:
+            return x
+        if not names:
+            return seeds.limit(0)
+        kind = seeds.schema["query_id"].dataType
+        each = F.array(*[F.struct(F.lit(q).cast(kind).alias("query_id"), F.col(c).alias("x")) for c, q in zip(names, queries)])
+        return x.select("id", F.inline(each)).where("x is not null").select("query_id", "id", "x")
+
     x, frames = seed, []
     scale, again = (1 - alpha, alpha) if operator == "ppr" else (damping, 1.0 if operator == "accumulate" else 0.0)
     for i in range(1, (iterations if operator == "ppr" else hops) + 1):
-        moved = x.join(graph, F.col("id") == F.col("src")).select("query_id", F.col("dst").alias("id"), (F.col("x") * F.col("cond") * scale).alias("x"))
+        if hot is None:
+            met = x.join(graph, F.col("id") == F.col("src"))
+        else:
+            dealt = x.join(hot.withColumnRenamed("src", "id"), "id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+            met = dealt.join(graph, (F.col("id") == F.col("src")) & (F.col("_salt") == F.col("salt")))
+        moved = met.select(*[c for c in key if c != "id"], F.col("dst").alias("id"), *[(F.col(c) * F.col("cond") * scale).alias(c) for c in names])
         if again:
-            moved = moved.unionByName(seed.withColumn("x", F.col("x") * again))
-        x = moved.groupBy("query_id", "id").agg(F.sum("x").alias("x"))
+            moved = moved.unionByName(seed.withColumns({c: F.col(c) * again for c in names}))
+        x = moved.groupBy(*key).agg(*[F.sum(c).alias(c) for c in names])
         if i % cut_every == 0:
             x = cut(x)
         if trace:
-            frames.append(x.withColumn("iteration", F.lit(i)))
+            frames.append(told(x).withColumn("iteration", F.lit(i)))
     if not trace:
-        return x
+        return told(x)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -144,15 +191,30 @@ def multi_hop(edges: DataFrame, seeds: DataFrame, k: int = 20, hops: int = 3, le
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """(start, id, distance) of nodes within ``depth`` steps in either direction."""
+    """(start, id, distance) of nodes within ``depth`` steps in either direction.
+
+    Starts are numbered, and the 64 of a word are the bits of one number: a step joins nodes and words, not
+    nodes and starts, and adds up by bitwise or. Only the result has a row per start and node.
+    """
     near = adjacency(edges)
-    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance"))
-    front = seen
+    named = cut(numbered(starts.select("id").distinct().orderBy("id"), "no"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("no") % 64).cast("int"))
+    front = cut(named.select("id", F.floor(F.col("no") / 64).alias("word"), bit.alias("bits")))
+    seen, frames = front, [front.withColumn("distance", F.lit(0))]
     for d in range(1, depth + 1):
-        step = front.join(near, "id").select("start", F.col("neighbour").alias("id")).distinct()
-        front = step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        step = front.join(near, "id").groupBy(F.col("neighbour").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = seen.withColumnRenamed("bits", "_old")
+        both = step.join(before, ["id", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0)))))
+        front = cut(both.where("bits <> 0").select("id", "word", "bits"))
+        frames.append(front.withColumn("distance", F.lit(d)))
+        if d < depth:
+            seen = cut(seen.unionByName(front).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    each = out.select("id", "distance", "word", F.explode(bits).alias("_bit")).select("id", "distance", (F.col("word") * 64 + F.col("_bit")).alias("no"))
+    return each.join(named.select("no", F.col("id").alias("start")), "no").select("start", "id", "distance")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

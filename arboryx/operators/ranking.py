@@ -11,25 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arboryx.functions.vectors import l2_normalise
-from arboryx.lineage import cut
+from arboryx.lineage import cut, small
 
 
-def bm25(tokens: DataFrame, query_tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(tokens: DataFrame, query_tokens: DataFrame, k1: float = 1.5, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score): ``tokens`` is (doc_id, token, tf), ``query_tokens`` (query_id, token), repeats add again.
 
-    Statistics are aggregates; only tokens that a query has are joined, so the documents' side shrinks
-    before it meets anything.
+    Only tokens that a query has go on from the documents' side, which Catalyst filters before it counts
+    them; their rows are stored once. ``lengths`` (doc_id, dl) spares a second look at all tokens.
     """
-    lengths = tokens.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = query_tokens.groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = tokens.join(asked.select("token").distinct(), "token", "left_semi")
+    asked = cut(query_tokens.groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    lengths = cut(tokens.groupBy("doc_id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths.select("doc_id", "dl").where("dl > 0"))
+    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
+    wanted = cut(tokens.join(small(asked.select("token").distinct()), "token", "left_semi"))
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "token").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = wanted.join(df, "token").join(lengths, "doc_id")
+    idf = F.greatest(F.lit(0.0), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     parts = scored.select("doc_id", "token", part.alias("part"))
-    return asked.join(parts, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    return small(asked).join(parts, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -45,11 +45,15 @@ def nearest(vectors_df: DataFrame, queries: DataFrame, k: int, least: float | No
     """(query_id, id, cosine, rank): exact neighbours of a stated query set, itself left out; optionally within a band.
 
     Both sides are (id, v) of unit vectors; with ``group``, a column of both, only vectors of a query's own
-    group count. Vectors are dealt into blocks, queries into parts; a task multiplies one block by one
-    part and gives back k rows per query, so no pair of a vector and a query is ever a row.
+    group count. Up to QUERY_ROWS queries go to the tasks as one matrix, and the vectors stay where they
+    are; more are dealt into parts, the vectors into blocks, and a task multiplies one block by one part. A
+    task gives back k rows per query, so no pair of a vector and a query is ever a row.
     """
     both = [*([group] if group else [])]
-    found_v, found_q = cut(vectors_df.select("id", "v", *both)), cut(queries.select("id", "v", *both))
+    found_q = cut(queries.select("id", "v", *both))
+    if found_q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        return _nearest_of_few(vectors_df.select("id", "v", *both), found_q, k, least, most, group)
+    found_v = cut(vectors_df.select("id", "v", *both))
     blocks, parts = max(1, -(-found_v.count() // BLOCK_ROWS)), max(1, -(-found_q.count() // QUERY_ROWS))
     dealt = lambda df, n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -83,6 +87,38 @@ def nearest(vectors_df: DataFrame, queries: DataFrame, k: int, least: float | No
     return top(found, ["query_id"], [F.desc("cosine"), F.col("id")], k)
 
 
+def _nearest_of_few(vectors_df: DataFrame, queries: DataFrame, k: int, least: float | None, most: float | None, group: str | None) -> DataFrame:
+    """``nearest`` for QUERY_ROWS queries at most: nothing is shuffled but each task's k rows per query."""
+    asked = queries.toPandas()  # QUERY_ROWS at most
+    kinds = dict(vectors_df.dtypes)["id"], dict(queries.dtypes)["id"]
+    schema = f"query_id {kinds[1]}, id {kinds[0]}, cosine double"
+    if not len(asked):
+        return top(vectors_df.sparkSession.createDataFrame([], schema), ["query_id"], [F.desc("cosine"), F.col("id")], k)
+    own, q = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy()).astype(np.float64)
+    groups = asked[group].to_numpy() if group else None
+
+    def search(batches):
+        best = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                l = batch.iloc[at : at + 4096]  # noqa: E741
+                ids, x = l["id"].to_numpy(), np.stack(l["v"].to_numpy())
+                s = np.round(q @ x.T, 9)
+                ok = ids[None, :] != own[:, None]
+                if group:
+                    ok &= l[group].to_numpy()[None, :] == groups[:, None]
+                if least is not None:
+                    ok &= (s >= least) & (s <= most)
+                i, j = np.nonzero(ok)
+                found = pd.DataFrame({"q": i, "id": ids[j], "cosine": s[i, j]})
+                found = found if best is None else pd.concat([best, found])
+                best = found.sort_values(["q", "cosine", "id"], ascending=[True, False, True]).groupby("q").head(k)
+        if best is not None and len(best):
+            yield pd.DataFrame({"query_id": own[best["q"].to_numpy()], "id": best["id"], "cosine": best["cosine"]})
+
+    return top(vectors_df.mapInPandas(search, schema), ["query_id"], [F.desc("cosine"), F.col("id")], k)
+
+
 def filtered_rank(scores: DataFrame, truth: DataFrame, known: DataFrame) -> DataFrame:
     """(query_id, rank) of the true answer among candidates not known otherwise, ties averaged.
 

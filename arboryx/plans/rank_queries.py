@@ -97,7 +97,8 @@ bm AS (
 
 def _bm25(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("token"))
-    scored = ranking.bm25(fx.tokens(t), asked).withColumn("score", F.round("score", 7))
+    lengths = t.documents.select("doc_id", F.size(text.tokens(F.col("text"))).alias("dl"))
+    scored = ranking.bm25(fx.tokens(t), asked, lengths=lengths).withColumn("score", F.round("score", 7))
     return ranking.top(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 10)
 
 

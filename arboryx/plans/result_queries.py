@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arboryx.functions import text, vectors
+from arboryx.lineage import cut
 from arboryx.operators import assemble, graph, ranking
 
 from . import fixtures as fx
@@ -21,7 +22,7 @@ def _spread(t):
 
 def _chosen(t):
     nodes = fx.trade_nodes(t).select("id", F.col("kind").isin("nation", "region").alias("is_anchor"))
-    return assemble.strongest(_spread(t), nodes, 300, 10, 50)
+    return cut(assemble.strongest(_spread(t), nodes, 300, 10, 50))  # a few hundred rows a query, used several times
 
 
 def _sql(tail: str) -> str:
