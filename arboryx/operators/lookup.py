@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arboryx.lineage import numbered
+
 
 def multi_get(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """``nodes`` whose id is among ``ids`` (id)."""
@@ -56,15 +58,16 @@ def search(nodes: DataFrame, asked: DataFrame, near: DataFrame | None = None, li
 
     Tier 0 is the node whose id is the text, tier 1 those whose label has it, whatever the case. Where these
     are fewer than min(3, limit), ``near`` (query_id, id, rank) fills up as tier 2. Labels are found by their
-    runs of three characters, so that a text meets only labels that hold its beginning; a shorter text
-    has tier 0 alone.
+    runs of three characters, and of one and two for texts as short as that, so that a text meets only
+    labels that hold its beginning; empty texts find nothing.
     """
     low = F.lower("label")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
     index = nodes.select("id", low.alias("low"), F.explode(grams).alias("gram"))
     texts = asked.select("query_id", "text", F.lower("text").alias("q")).where(F.length("q") > 0)
     exact = nodes.join(texts, F.col("id") == F.col("text")).select("query_id", "id", F.lit(0).alias("tier"), F.lit(0).alias("near"))
-    holds = index.join(texts.where(F.length("q") >= 3).withColumn("gram", F.substring("q", 1, 3)), "gram").where(F.contains("low", "q"))
+    holds = index.join(texts.withColumn("gram", F.substring("q", 1, 3)), "gram").where(F.contains("low", "q"))
     found = exact.unionByName(holds.select("query_id", "id", F.lit(1).alias("tier"), F.lit(0).alias("near")))
     if near is not None:
         counts = found.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
@@ -109,7 +112,7 @@ def sampled_corpus(passages: DataFrame, golds: DataFrame, size: int) -> DataFram
     order = [F.col("_g"), F.md5(F.col("id").cast("string")), F.col("id")]
     n = golds.select("id").distinct().count()
     few = marked.orderBy(*order).limit(max(size, n))
-    return few.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("index"))
+    return numbered(few.select("id").orderBy("id"), "_no").select("id", F.col("_no").cast("int").alias("index"))
 
 
 def edge_key(src: Column, dst: Column, rel: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arboryx.functions.text import tokens as tokens_of
 from arboryx.functions.vectors import l2_normalise
 from arboryx.lineage import cut, small
 
@@ -144,11 +145,55 @@ def recall_and_mrr(ranked: DataFrame, golds: DataFrame, k: int = 5, within: int
     return sizes.join(hits, "query_id", "left").select("query_id", (F.coalesce("_h", F.lit(0)) / F.col("_g")).alias("recall"), F.coalesce(rr, F.lit(0.0)).alias("rr"))
 
 
+def holders(passages: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
+    """(query_id, id): documents (id, text) whose text has the whole text of a passage (query_id, text), which is not empty.
+
+    A passage is looked up by its second to sixth word among all such runs of the documents (the first word may
+    be the end of a longer one there, and so may the last); only runs that a passage has go on, and
+    the whole passage is compared then. Shorter passages are looked up by the words between their first and
+    last, and those without such words by every run of as many characters.
+    """
+    words = tokens_of(F.col("text"))
+    n_inner = F.least(F.size("_w") - 2, F.lit(width))
+    by_words = F.slice("_w", 2, F.greatest(n_inner, F.lit(1)))
+    told = passages.where("text <> ''").withColumn("_w", words)
+    key = F.when(n_inner > 0, F.xxhash64(by_words)).otherwise(F.xxhash64("text"))
+    wanted = cut(told.select("query_id", F.col("text").alias("passage"), F.when(n_inner > 0, n_inner).alias("words"), F.when(~(n_inner > 0), F.length("text")).alias("chars"), key.alias("key")))
+    keys = small(wanted.select("key").distinct())
+    by_size = lambda c: sorted(r[0] for r in wanted.where(f"{c} is not null").select(c).distinct().collect())  # noqa: E731  a few lengths
+    read = docs.where("text is not null").select("id", "text", words.alias("_w"))
+    every = lambda size, n, run: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), run)
+    of_words = lambda n: every(F.size("_w"), n, lambda i: F.xxhash64(F.slice("_w", i, n)))
+    of_chars = lambda n: every(F.length("text"), n, lambda i: F.xxhash64(F.substring("text", i, F.lit(n))))
+    runs = [*map(of_words, by_size("words")), *map(of_chars, by_size("chars"))]
+    if not runs:
+        return docs.select("id").join(wanted.select("query_id"), F.lit(False)).select("query_id", "id")
+    met = read.select("id", F.explode(F.concat(*runs)).alias("key")).join(keys, "key", "left_semi").distinct()
+    pairs = met.join(wanted.select("query_id", "passage", "key"), "key").select("query_id", "passage", "id").distinct()
+    return pairs.join(docs.select("id", "text"), "id").where(F.contains("text", "passage")).select("query_id", "id").distinct()
+
+
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two token arrays as bags; 1 if both are empty, 0 if one is."""
-    distinct = F.array_distinct(a)
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    common = F.aggregate(distinct, F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    """F1 of two token arrays as bags; 1 if both are empty, 0 if one is.
+
+    Equal tokens of a sorted array are numbered (the first a, the second a, and so on), so that bags meet as
+    sets of strings, in time that grows with the texts and not with their square.
+    """
+
+    def once(value: Column, f) -> Column:
+        """``f`` of a value that is worked out once and not in every step of a lambda."""
+        return F.transform(F.array(value), f)[0]
+
+    def counted(ordered: Column, starts: Column) -> Column:
+        counts = F.transform(starts, lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(ordered)) - i)
+        each = F.transform(counts, lambda n, k: F.transform(F.sequence(F.lit(1), n), lambda j: F.concat_ws("\x01", F.get(ordered, F.get(starts, k)), j.cast("string"))))
+        return F.flatten(each)
+
+    def numbered_tokens(tokens: Column) -> Column:
+        begins = lambda o: F.filter(F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1) != x), i)), lambda i: i.isNotNull())
+        return F.coalesce(once(F.array_sort(tokens), lambda o: once(begins(o), lambda s: counted(o, s))), F.array().cast("array<string>"))
+
+    common = F.size(F.array_intersect(numbered_tokens(a), numbered_tokens(b)))
     both = F.size(a) + F.size(b)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * common / both)
 

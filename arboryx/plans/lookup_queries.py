@@ -89,7 +89,7 @@ def layer_export(t):
 
 
 _SEARCH = """n AS (SELECT 'p' || p_partkey AS id, lower(p_name) AS low, p_partkey AS k, p_size AS size, p_retailprice AS price FROM part),
-q AS (SELECT k AS query_id, CASE WHEN k % 3 = 0 THEN id WHEN k % 3 = 1 THEN substr(low, 3, 9) ELSE '~' || low END AS text, id AS own, size, price FROM n WHERE k % 50 = 0),
+q AS (SELECT k AS query_id, CASE WHEN k % 3 = 0 THEN id WHEN k % 3 = 1 THEN substr(low, 3, CAST(1 + (k // 50) % 9 AS INTEGER)) ELSE '~' || low END AS text, id AS own, size, price FROM n WHERE k % 50 = 0),
 f AS (SELECT query_id, id, min(CASE WHEN id = text THEN 0 ELSE 1 END) AS tier, 0 AS near FROM q JOIN n ON id = text OR contains(low, text) GROUP BY 1, 2),
 few AS (SELECT query_id FROM q LEFT JOIN f USING (query_id) GROUP BY 1 HAVING count(f.id) < 3),
 near AS (SELECT query_id, n.id, row_number() OVER (PARTITION BY query_id ORDER BY abs(q.price - n.price), n.id) AS rank FROM q JOIN n ON q.size = n.size AND n.id <> own),
@@ -103,7 +103,7 @@ def node_search(t):
     """Parts by id, by a part of their name, or else by their neighbours in price; every fiftieth part asks."""
     n = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
     low = F.lower("label")
-    q = n.where("k % 50 = 0").select(F.col("k").alias("query_id"), F.when(F.col("k") % 3 == 0, F.col("id")).when(F.col("k") % 3 == 1, F.substring(low, 3, 9)).otherwise(F.concat(F.lit("~"), low)).alias("text"), F.col("id").alias("own"), "size", F.col("price").alias("qp"))
+    q = n.where("k % 50 = 0").select(F.col("k").alias("query_id"), F.when(F.col("k") % 3 == 0, F.col("id")).when(F.col("k") % 3 == 1, F.substring(low, F.lit(3), (1 + F.floor(F.col("k") / 50) % 9).cast("int"))).otherwise(F.concat(F.lit("~"), low)).alias("text"), F.col("id").alias("own"), "size", F.col("price").alias("qp"))
     close = n.join(q, "size").where("id <> own").withColumn("far", F.abs(F.col("qp") - F.col("price")))
     near = ranking.top(close, ["query_id"], [F.col("far"), F.col("id")], 20).select("query_id", "id", "rank")
     return lookup.search(n.select("id", "label"), q.select("query_id", "text"), near)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arboryx.functions import scalar, text, vectors
+from arboryx.lineage import cut
 from arboryx.operators import ranking, seeding
 
 from . import fixtures as fx
@@ -107,7 +108,7 @@ def bm25_top10(t):
     return _bm25(t)
 
 
-_GOLDS = "golds AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+_GOLDS = "golds AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')"
 
 
 @query(
@@ -116,10 +117,8 @@ _GOLDS = "golds AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JO
     " SELECT query_id, round(coalesce(hit, 0) / n + 1e-11, 8) AS recall, round(coalesce(1.0 / fst, 0) + 1e-11, 8) AS rr FROM g LEFT JOIN h USING (query_id)"
 )
 def bm25_recall(t):
-    """Recall at 5 and reciprocal rank of BM25 for benchmark passages, golds being the documents that hold their beginning."""
-    docs = t.documents.select("doc_id", "text")
-    heads = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    golds = docs.join(F.broadcast(heads), F.contains("text", "head")).select("query_id", F.col("doc_id").alias("id"))  # the benchmark is a small, fixed table
+    """Recall at 5 and reciprocal rank of BM25 for benchmark passages, golds being the documents that hold them whole."""
+    golds = ranking.holders(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), t.documents.select(F.col("doc_id").alias("id"), "text"))
     out = ranking.recall_and_mrr(_bm25(t).withColumnRenamed("doc_id", "id"), golds)
     return out.select("query_id", F.round(F.col("recall") + 1e-11, 8).alias("recall"), F.round(F.col("rr") + 1e-11, 8).alias("rr"))
 
@@ -179,11 +178,12 @@ def nearest_centroid(t):
     " SELECT query_id, round(coalesce(sum(more::INT), 0) + coalesce(sum(same::INT), 0) / 2 + 1, 4) AS rank FROM tgt LEFT JOIN o USING (query_id) GROUP BY query_id"
 )
 def filtered_ranks(t):
-    """Rank of the first vector of the query's own label, the others of that label filtered."""
+    """Rank of the first vector of the query's own label, the others of that label filtered; a query sees all others, as many as there are."""
     unit = _unit(t)
-    q = unit.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    s = unit.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 9).alias("score"), (F.col("label") == F.col("ql")).alias("same"))
-    known = s.where("same").select("query_id", "id")
+    labels = unit.select("id", "label")
+    s = ranking.nearest(unit.select("id", "v"), unit.where("id % 100 = 0").select("id", "v"), unit.count()).select("query_id", "id", F.col("cosine").alias("score"))
+    s = cut(s.join(labels, "id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id"))
+    known = s.where("label = ql").select("query_id", "id")
     truth = known.groupBy("query_id").agg(F.min("id").alias("id"))
     out = ranking.filtered_rank(s.select("query_id", "id", "score"), truth, known.join(truth, ["query_id", "id"], "left_anti"))
     return out.withColumn("rank", F.round("rank", 4))
@@ -194,13 +194,30 @@ def weight_classes(t):
     return seeding.weight_classes(t.part.select("p_partkey", "p_retailprice"), "p_retailprice")
 
 
-@query()
+#: Greedy order by relevance and diversity, and who gets a seat, of candidates ``cand`` (query_id, r, id, cosine, v, cls).
+CHOICE = """sim AS MATERIALIZED (SELECT a.query_id, a.r AS i, b.r AS j, list_inner_product(a.v, b.v) AS s FROM cand a JOIN cand b ON a.query_id = b.query_id),
+ord AS (
+  SELECT query_id, 1 AS pos, 1::BIGINT AS pick, [1::BIGINT] AS taken FROM cand WHERE r = 1
+  UNION ALL
+  SELECT query_id, pos + 1, first(r ORDER BY score DESC, r), list_append(taken, first(r ORDER BY score DESC, r))
+  FROM (SELECT o.query_id, o.pos, o.taken, c.r, 0.6 * c.cosine - 0.4 * max(s) AS score FROM ord o JOIN cand c ON c.query_id = o.query_id AND NOT list_contains(o.taken, c.r)
+        JOIN sim ON sim.query_id = o.query_id AND sim.i = c.r AND list_contains(o.taken, sim.j) GROUP BY o.query_id, o.pos, o.taken, c.r, c.cosine) GROUP BY query_id, pos, taken
+), pos AS (SELECT o.query_id, o.pos, c.id, c.cosine, c.cls, o.pos = min(o.pos) OVER (PARTITION BY o.query_id, c.cls) AND c.cls <> 3 OR o.pos = 1 AS early FROM ord o JOIN cand c ON c.query_id = o.query_id AND c.r = o.pick),
+rest AS (SELECT *, count(*) FILTER (early) OVER (PARTITION BY query_id) AS n_early, count(*) FILTER (early AND cls = 3) OVER (PARTITION BY query_id) AS early_hubs,
+         row_number() OVER (PARTITION BY query_id, early, cls ORDER BY pos) AS of_class FROM pos),
+seated AS (SELECT *, row_number() OVER (PARTITION BY query_id, early ORDER BY cls = 3 AND of_class > 4 - early_hubs, pos) AS turn FROM rest),
+chosen_seeds AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS seat, greatest(cosine, 0.001) AS weight FROM seated WHERE early OR turn <= 8 - n_early)"""
+
+
+@query(
+    f"WITH RECURSIVE {_KNN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM s),"
+    f" cand AS MATERIALIZED (SELECT query_id, r, ranked.id, cosine, v, label % 4 AS cls FROM ranked JOIN unit ON unit.id = ranked.id WHERE r <= 64), {CHOICE} SELECT * FROM chosen_seeds"
+)
 def diversified_seeds(t):
     """Seeds of every hundredth vector among all others, by relevance, diversity and classes of the label."""
     unit = _unit(t)
-    q = unit.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    scored = unit.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 9).alias("cosine"), "v", (F.col("label") % 4).alias("weight_class"))
-    return seeding.diversified(scored)
+    near = ranking.nearest(unit.select("id", "v"), unit.where("id % 100 = 0").select("id", "v"), 64)
+    return seeding.diversified(near.join(unit.select("id", "v", (F.col("label") % 4).alias("weight_class")), "id"))
 
 
 @query(
