@@ -12,7 +12,7 @@ from arboryx.operators import graph, ranking, spans
 
 from . import fixtures as fx
 from .fixtures import EDGES, NODES, SEEDS, TOKENS
-from .rank_queries import _UNIT, _unit
+from .rank_queries import _UNIT, CHOICE, _unit
 from .registry import query
 
 
@@ -214,13 +214,43 @@ def freshness_by_gap(t):
     return told.select("event_id", F.round(scalar.freshness_half_life((micros("ts") - micros("before")) / 86_400_000_000.0) + 1e-11, 8).alias("fresh"))
 
 
-@query()
+_FOLLOWS = """e AS MATERIALIZED (SELECT * FROM (SELECT lag(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS src, doc_id AS dst FROM documents) WHERE src IS NOT NULL AND src <> dst),
+n AS MATERIALIZED (SELECT u.id, u.v, u.id % 10 = 0 AS is_anchor FROM unit u JOIN documents ON doc_id = u.id),
+s AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 9) AS cosine, b.v, b.is_anchor FROM n a, n b WHERE a.id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, 'n' || id) AS r FROM s)"""
+_RETRIEVAL = f"""WITH RECURSIVE {_UNIT}, {_FOLLOWS},
+pot AS (SELECT n.id, coalesce(p, 0) AS p FROM n LEFT JOIN (SELECT dst, sum(0.5::DOUBLE) AS p FROM e GROUP BY dst) ON dst = n.id), cuts AS (SELECT quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.75) AS b, quantile_cont(p, 0.95) AS c FROM pot),
+cls AS (SELECT id, CASE WHEN p <= a THEN 0 WHEN p <= b THEN 1 WHEN p <= c THEN 2 ELSE 3 END AS cls FROM pot, cuts),
+near AS (SELECT * FROM ranked WHERE r <= 64), cand AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, near.id) AS r, near.id, cosine, v, cls FROM near JOIN cls USING (id)), {CHOICE},
+norm AS MATERIALIZED (SELECT src, dst, 0.5 / sum(0.5) OVER (PARTITION BY src) AS cond FROM e), x0 AS (SELECT query_id, id, weight AS x FROM chosen_seeds), """ + ", ".join(
+    f"x{i} AS MATERIALIZED (SELECT query_id, id, sum(x) AS x FROM (SELECT query_id, dst AS id, 0.85 * sum(x * cond) AS x FROM x{i - 1} JOIN norm ON id = src GROUP BY 1, 2 UNION ALL SELECT query_id, id, 0.15 * weight FROM chosen_seeds) GROUP BY 1, 2)" for i in range(1, 13)
+) + """, few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, id) AS r FROM x12 WHERE round(x, 12) > 0),
+told AS (SELECT f.query_id, f.id, round(f.x, 12) AS x, is_anchor FROM few f JOIN n ON n.id = f.id WHERE r <= 66),
+kk AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_anchor ORDER BY x DESC, id) AS k FROM told)
+SELECT query_id, id, round(x + 1e-11, 8) AS x, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS INTEGER) AS rank, is_anchor FROM kk WHERE k <= CASE WHEN is_anchor THEN 3 ELSE 50 END"""
+
+
+def _asked_documents(t):
+    nodes = _unit(t).join(t.documents.select(F.col("doc_id").alias("id")), "id").select("id", "v", (F.col("id") % 10 == 0).alias("is_anchor"))
+    return nodes, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v")
+
+
+@query(_RETRIEVAL)
 def retrieval(t):
     """Documents and their vectors: every hundredth vector asks; documents of one source and language in turn are joined."""
     from arboryx.operators import retrieve
 
     along = Window.partitionBy("source", "lang").orderBy("doc_id")
     edges = t.documents.select(F.lag("doc_id").over(along).alias("src"), F.col("doc_id").alias("dst"), F.lit("follows").alias("rel"), F.lit(0.5).alias("weight")).where("src is not null")
-    nodes = _unit(t).join(t.documents.select(F.col("doc_id").alias("id")), "id").select("id", "v", (F.col("id") % 10 == 0).alias("is_anchor"))
-    found = retrieve.retrieve(nodes, edges, nodes.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"))
-    return found["nodes"]
+    nodes, asked = _asked_documents(t)
+    found = retrieve.retrieve(nodes, edges, asked)
+    return found["nodes"].withColumn("x", F.round(F.col("x") + 1e-11, 8))
+
+
+@query(f"WITH {_UNIT}, {_FOLLOWS} SELECT query_id, id, greatest(cosine, 0) AS x, CAST(r AS INTEGER) AS rank, is_anchor FROM ranked WHERE r <= 50")
+def retrieval_without_edges(t):
+    """The same questions of a graph that has no edge yet."""
+    from arboryx.operators import retrieve
+
+    nodes, asked = _asked_documents(t)
+    return retrieve.retrieve(nodes, t.spark.createDataFrame([], "src long, dst long, rel string, weight double"), asked)["nodes"]
