@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arboryx.lineage import shared_folder
 from arboryx.operators import evolve
-from arboryx.sources import text_files
+from arboryx.sources import blueprint, text_files
 from arboryx.sources.versions import VersionedTable
 from arboryx.streaming import jobs
 
@@ -114,7 +114,10 @@ def stream_quota(t):
     return t.spark.read.parquet(f"{path}/out").select("user_id", "event_id", "used", "allowed")
 
 
-@query()
+@query(
+    "WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), n AS (SELECT user_id, max(i) AS step FROM e GROUP BY 1), l AS (SELECT user_id, event_type, max(i) AS i FROM e GROUP BY 1, 2)"
+    " SELECT user_id, step, event_type AS concept, round(pow(0.779, step - i), 9) AS activation FROM l JOIN n USING (user_id) WHERE pow(0.779, step - i) >= 0.01"
+)
 def stream_working_memory(t):
     """Activations of event types per user after the whole log."""
     path = _folder(t)
@@ -130,3 +133,61 @@ def sessions(t):
     timed = t.events.withColumn("at", F.col("ts").cast("timestamp"))
     out = timed.groupBy("user_id", F.session_window("at", "30 minutes")).agg(F.min("ts").alias("session_start"), F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", "session_start", "n", F.round(F.col("total") + 1e-9, 4).alias("total"))
+
+
+_BATCHES = "b AS (SELECT *, CAST(event_id % 4 AS BIGINT) AS epoch FROM events), w AS (SELECT epoch, max(max(ts)) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 200 HOUR AS mark FROM b GROUP BY epoch), r AS (SELECT b.*, coalesce(ts < mark, false) AS late FROM b JOIN w USING (epoch))"
+
+
+def _late(t):
+    path = _folder(t)
+    for k in range(4):  # four files, a micro-batch each
+        t.events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    split = jobs.LateRows(t.spark, path, "200 hours")
+    jobs.drain(jobs.source(t.spark, f"{path}/in", t.events.schema, 1), split, f"{path}/log")
+    return split
+
+
+@query(f"WITH {_BATCHES} SELECT event_id, epoch FROM r WHERE late")
+def stream_late_rows(t):
+    """Events that come more than 200 hours after the latest one of the files before."""
+    return _late(t).rows(True).select("event_id", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query(f"WITH {_BATCHES} SELECT epoch, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM r GROUP BY epoch")
+def stream_late_counts(t):
+    """How many events of each file are on time and late."""
+    return _late(t).counts.read().select("epoch", "on_time", "late")
+
+
+_BLUEPRINT = """c AS (SELECT conv_id, turn, 't' || turn % 5 AS local, coalesce(text, '') AS s FROM conversations WHERE conv_id % 7 <> 0),
+g AS (SELECT conv_id, turn, local, s, 'NODE-' || substr(sha256('r1' || chr(31) || conv_id || chr(31) || local || chr(31) || turn), 1, 12) AS id FROM c),
+lst AS (SELECT conv_id, local, arg_max(id, turn) AS id FROM g GROUP BY 1, 2)"""
+
+
+def _blueprints(t):
+    path = _folder(t)
+    local = F.concat(F.lit("t"), F.col("turn") % 5)
+    concept = F.struct(F.col("turn").cast("string").alias("place"), local.alias("local_id"), F.coalesce("text", F.lit("")).alias("canonical_text"), F.array("role").alias("keywords"))
+    link = F.struct(local.alias("source"), F.concat(F.lit("t"), F.col("turn") % 5 + 1).alias("target"), F.lit("next").alias("relation_type"), (F.col("turn") / 10).alias("weight"))
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("k"), concept.alias("c"), link.alias("l")))).alias("x"))
+    body = F.to_json(F.struct(F.col("conv_id").cast("string").alias("source_id"), F.transform("x", lambda r: r["c"]).alias("concepts"), F.transform("x", lambda r: r["l"]).alias("synapses")))
+    rows.select(F.when(F.col("conv_id") % 7 == 0, F.substring(body, 1, 40)).otherwise(body).alias("value")).write.text(path)
+    return blueprint.read(t.spark, path, "r1")
+
+
+@query(f"WITH {_BLUEPRINT} SELECT id, CAST(conv_id AS VARCHAR) AS source_id, local AS local_id, sha256(array_to_string(list_filter(regexp_split_to_array(lower(s), '\\s+'), lambda w: w <> ''), ' ')) AS anchor FROM g")
+def blueprint_nodes(t):
+    """Conversations as nested blueprints; their concepts as nodes."""
+    return _blueprints(t)[0].select("id", "source_id", "local_id", "anchor")
+
+
+@query(
+    f"WITH {_BLUEPRINT}, k AS (SELECT conv_id, 't' || turn % 5 AS s, 't' || (turn % 5 + 1) AS d, turn / 10 AS w FROM c), j AS (SELECT CAST(k.conv_id AS VARCHAR) AS source_id, k.s, k.d, w, a.id AS src, b.id AS dst FROM k LEFT JOIN lst a ON a.conv_id = k.conv_id AND a.local = k.s LEFT JOIN lst b ON b.conv_id = k.conv_id AND b.local = k.d)"
+    " SELECT src, dst, source_id, round(w, 6) AS weight, '' AS reason FROM j WHERE dst IS NOT NULL"
+    " UNION ALL SELECT s, d, source_id, round(w, 6), 'dangling' FROM j WHERE dst IS NULL UNION ALL SELECT '', '', '', NULL, 'torn' FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 0)"
+)
+def blueprint_links(t):
+    """Their links as edges, with links that lead nowhere and lines that cannot be read."""
+    _, edges, rejects = _blueprints(t)
+    kept = edges.select("src", "dst", "source_id", F.round("weight", 6).alias("weight"), F.lit("").alias("reason"))
+    return kept.unionByName(rejects.select(F.coalesce("source", F.lit("")).alias("src"), F.coalesce("target", F.lit("")).alias("dst"), F.coalesce("source_id", F.lit("")).alias("source_id"), F.round("weight", 6).alias("weight"), "reason"))

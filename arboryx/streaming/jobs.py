@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,21 +89,75 @@ def quotas(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 def working_memory(events: DataFrame, decay: float = 0.779, floor: float = 0.01, capacity: int = 200) -> DataFrame:
     """Per user, activations of event types: each step fades what was not just touched; the weakest half
     goes when the capacity is passed. Returns (user_id, step, concept, activation) of the latest state
-    after each micro-batch."""
+    after each micro-batch.
+
+    Activation follows from the steps since a concept was touched, so the state is the step of each one's last
+    touch, oldest first, and nothing is faded in it: an event moves one concept to the end and drops those at
+    the front that have faded below the floor or are too many, whatever the capacity is.
+    """
+    longest = 0
+    while decay ** (longest + 1) >= floor and longest < 100_000:
+        longest += 1
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, levels, n = state.get if state.exists else ([], [], 0)
-        held = dict(zip(names, levels))
+        names, touched, n = state.get if state.exists else ([], [], 0)
+        held = dict(zip(names, touched))  # in the order of the last touch
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         for concept in rows["event_type"].tolist():
-            held = {c: x * decay for c, x in held.items() if c != concept and x * decay >= floor} | {concept: 1.0}
-            if len(held) > capacity:
-                held = dict(sorted(held.items(), key=lambda x: (-x[1], x[0]))[: capacity // 2])
             n += 1
+            held.pop(concept, None)
+            held[concept] = n
+            while n - held[oldest := next(iter(held))] > longest:
+                del held[oldest]
+            if len(held) > capacity:
+                while len(held) > max(1, capacity // 2):
+                    del held[next(iter(held))]
         state.update((list(held), list(held.values()), n))
-        yield pd.DataFrame({"user_id": key[0], "step": n, "concept": list(held), "activation": list(held.values())})
+        yield pd.DataFrame({"user_id": key[0], "step": n, "concept": list(held), "activation": [decay ** (n - x) for x in held.values()]})
 
     timed = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return timed.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, step long, concept string, activation double", "names array<string>, levels array<double>, n long", "append", GroupStateTimeout.NoTimeout
+        step, "user_id long, step long, concept string, activation double", "names array<string>, touched array<long>, n long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+class LateRows:
+    """A foreachBatch function that keeps what a watermark would drop: rows on time and late rows apart, and their numbers.
+
+    A row is late if its time lies more than ``lateness`` before the latest one of all earlier micro-batches, as
+    for Spark's own watermark. ``folder/on_time`` and ``folder/late`` have a folder per micro-batch, and a table of
+    counts goes along, whose version n + 1 is made by batch n from version n: a batch that is tried again writes the same again.
+    Rows without a time are late. Numbers are observed while the rows are written, not in a pass of their own.
+    """
+
+    SCHEMA = "epoch long, latest timestamp, on_time long, late long"
+
+    def __init__(self, spark: SparkSession, folder: str, lateness: str = "2 hours", at: str = "ts"):
+        self.spark, self.folder, self.lateness, self.at = spark, folder, lateness, at
+        self.counts = VersionedTable(spark, f"{folder}/counts")
+        if not self.counts.versions():
+            self.counts.commit(spark.createDataFrame([], self.SCHEMA), 0)
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        before = self.counts.read(epoch)
+        at = F.col(self.at).cast("timestamp")
+        latest = before.agg(F.max("latest")).first()[0]
+        limit = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {self.lateness}")
+        late = at.isNull() | F.coalesce(at < limit, F.lit(False))
+        seen = Observation()
+        told = batch.withColumn("_late", late).observe(seen, F.count_if(~F.col("_late")).alias("on_time"), F.count_if("_late").alias("late"), F.max(at).alias("latest"))
+        told.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("_late").parquet(f"{self.folder}/rows/batch={epoch}")
+        n = seen.get
+        last = max(x for x in (latest, n["latest"]) if x is not None) if latest is not None or n["latest"] is not None else None
+        self.counts.commit(before.unionByName(self.spark.createDataFrame([(epoch, last, n["on_time"], n["late"])], self.SCHEMA)), epoch + 1)
+
+    def rows(self, late: bool) -> DataFrame:
+        """Rows of all micro-batches, with their ``epoch``, that were late, or that were not."""
+        return self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows/batch=*").where(F.col("_late") == late).drop("_late", "batch")
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", lateness: str = "2 hours") -> DataFrame:
+    """(user_id, start, end, n) of a stream of events: sessions that a gap ends, emitted once the watermark has passed them."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
+    counts = timed.groupBy("user_id", F.session_window("at", gap)).agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
