@@ -54,19 +54,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.select(F.col("e.src").alias("id"), F.col("e.dst").alias("neighbour")).where("id <> neighbour").distinct()
 
 
-#: Queries that may travel as columns of one row a node; out-edges from which on a source is dealt to several tasks.
-WIDE_QUERIES, HOT_DEGREE = 64, 200_000
+#: Queries that may travel as columns of one row a node; out-edges from which on a source is dealt to several tasks;
+#: numbers (nodes times queries) up to which activation is broadcast to the edges.
+WIDE_QUERIES, HOT_DEGREE, BROADCAST_NUMBERS = 64, 200_000, 2_000_000
 
 
-def _stored_by_source(edges: DataFrame, normal: bool, beta: float) -> tuple[DataFrame, DataFrame | None]:
-    """``edges`` (src, dst, cond) with a ``salt``, stored by (src, salt), and (src, salts) of the sources of more than HOT_DEGREE edges (None: there are none).
+def _stored_by_source(edges: DataFrame, normal: bool, beta: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """``edges`` (src, dst, cond) with a ``salt``, stored by (src, salt); (src, salts) of the sources of more than HOT_DEGREE edges (None: there are none); and how many nodes there are at most.
 
     ``normal`` divides by what leaves the source, ``beta`` > 0 by in-degree ** beta. The edges are made once. A hot
-    source's lie in as many partitions as it has salts, so no task holds more than about HOT_DEGREE of one.
+    source's lie in as many partitions as it has salts, so no task holds more than about HOT_DEGREE of one. Where
+    one activation of all nodes is small enough to be broadcast, edges stay as they come.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = cut(edges.select("src", "dst", "cond"))
     per = cut(base.groupBy("src").agg(F.count("*").alias("n"), F.sum("cond").alias("_out")))
+    nodes = per.count() + base.agg(F.countDistinct("dst")).first()[0]
     many = cut(per.where(F.col("n") > HOT_DEGREE).select("src", F.ceil(F.col("n") / HOT_DEGREE).cast("int").alias("salts")))
     out = base.withColumn("salt", F.lit(0))
     if normal:
@@ -74,10 +77,12 @@ def _stored_by_source(edges: DataFrame, normal: bool, beta: float) -> tuple[Data
     if beta:
         penalty = in_degree(base).select(F.col("id").alias("dst"), F.pow(F.greatest("in_degree", F.lit(1)), F.lit(beta)).alias("_p"))
         out = out.join(penalty, "dst").withColumn("cond", F.col("cond") / F.col("_p")).drop("_p")
+    if nodes <= BROADCAST_NUMBERS:
+        return cut(out), None, nodes
     if many.isEmpty():
-        return cut(out.repartition(n, "src")), None
+        return cut(out.repartition(n, "src")), None, nodes
     salted = out.join(many, "src", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    return cut(salted.repartition(n, "src", "salt")), many
+    return cut(salted.repartition(n, "src", "salt")), many, nodes
 
 
 def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int = 3, damping: float = 0.5, alpha: float = 0.15, iterations: int = 12, beta: float = 0.0, trace: bool = False, cut_every: int = 4) -> DataFrame:
@@ -90,11 +95,11 @@ def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int
     in_degree ** beta. ``trace`` returns all frames with their iteration.
 
     Normalising and the penalty are part of the stored edges, so a hop is one join and one aggregation
-    with map-side combine. Edges are stored by their source, hot sources in several parts, so only
-    activation moves. Up to WIDE_QUERIES queries are columns of one row per node (null: not reached),
+    with map-side combine. An activation of at most BROADCAST_NUMBERS numbers is broadcast to the edges, which
+    then stay where they are; a larger one meets edges that are dealt by their source, hot sources in several parts. Up to WIDE_QUERIES queries are columns of one row per node (null: not reached),
     so a hop moves a row per node and not one per node and query; more are rows.
     """
-    graph, hot = _stored_by_source(edges, operator not in ("raw", "accumulate"), beta)
+    graph, hot, nodes = _stored_by_source(edges, operator not in ("raw", "accumulate"), beta)
     seeds = cut(seeds.select("query_id", "id", F.col("x").cast("double").alias("x")))
     queries = [r[0] for r in seeds.select("query_id").distinct().limit(WIDE_QUERIES + 1).collect()]
     wide = len(queries) <= WIDE_QUERIES
@@ -115,11 +120,13 @@ def spread(edges: DataFrame, seeds: DataFrame, operator: str = "ppr", hops: int
         each = F.array(*[F.struct(F.lit(q).cast(kind).alias("query_id"), F.col(c).alias("x")) for c, q in zip(names, queries)])
         return x.select("id", F.inline(each)).where("x is not null").select("query_id", "id", "x")
 
+    ids = seeds.select("id").distinct().count()
+    everywhere = (nodes + ids) * max(1, len(names)) <= BROADCAST_NUMBERS if wide else False  # no step reaches more nodes than these
     x, frames = seed, []
     scale, again = (1 - alpha, alpha) if operator == "ppr" else (damping, 1.0 if operator == "accumulate" else 0.0)
     for i in range(1, (iterations if operator == "ppr" else hops) + 1):
         if hot is None:
-            met = x.join(graph, F.col("id") == F.col("src"))
+            met = (F.broadcast(x) if everywhere else x).join(graph, F.col("id") == F.col("src"))
         else:
             dealt = x.join(hot.withColumnRenamed("src", "id"), "id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
             met = dealt.join(graph, (F.col("id") == F.col("src")) & (F.col("_salt") == F.col("salt")))
