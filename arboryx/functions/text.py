@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def label_form(x: Column) -> Column:
@@ -89,3 +93,16 @@ def links(html: Column) -> Column:
 def token_estimate(x: Column) -> Column:
     """A third of the UTF-8 bytes, rounded down."""
     return F.floor(F.octet_length(x) / 3).cast("long")
+
+
+@F.pandas_udf(T.StringType())  # a type, not its name: no session is needed to import
+def folded(x: pd.Series) -> pd.Series:
+    """Compatible characters taken apart, accents dropped, cases folded, spaces squeezed."""
+
+    def one(s: str | None) -> str | None:
+        if s is None:
+            return None
+        bare = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        return " ".join(bare.split()).casefold()
+
+    return x.map(one)

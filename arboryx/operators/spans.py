@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arboryx.functions import text
+
 
 def subdivided(texts: DataFrame, most: int = 100, depth: int = 20) -> DataFrame:
     """(..., depth, length, spans): how many spans of each length every level of halving has.
@@ -37,3 +39,22 @@ def within(start: Column, end: Column, length: Column) -> Column:
     inside = lambda x: F.greatest(F.lit(0), F.least(x, length))
     valid = start.isNotNull() & end.isNotNull() & (inside(start) < inside(end)) & (length > 0)
     return F.struct(F.when(valid, inside(start)).otherwise(0).alias("start"), F.when(valid, inside(end)).otherwise(F.greatest(length, F.lit(0))).alias("end"))
+
+
+def evidenced(relations: DataFrame, sentences: DataFrame, types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Relations that their sentence bears out, and the others with a ``reason``.
+
+    ``relations`` is (sentence_id, subject, object, type, evidence, confidence), ``sentences`` (sentence_id, text). A relation
+    needs a subject, an object, a known type, a confidence in 0 to 1 (held there), and evidence that stands in
+    the sentence word for word once accents, cases and spaces are evened out. The first thing it lacks is the reason.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    told = relations.join(sentences.select("sentence_id", text.folded(F.col("text")).alias("_said")), "sentence_id", "left").withColumn("_evidence", text.folded(F.col("evidence")))
+    reason = (
+        F.when(blank("subject"), "no subject").when(blank("object"), "no object").when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "unknown type")
+        .when(blank("evidence"), "no evidence").when(F.col("confidence").isNull() | F.isnan("confidence"), "no confidence")
+        .when(~F.coalesce(F.contains("_said", "_evidence"), F.lit(False)), "not in the sentence")
+    )
+    told = told.withColumn("reason", reason).select(*relations.columns, "reason")
+    good = told.where("reason is null").drop("reason").withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence").cast("double"))))
+    return good, told.where("reason is not null")

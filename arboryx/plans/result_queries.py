@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arboryx.functions import text, vectors
 from arboryx.lineage import cut
-from arboryx.operators import assemble, graph, ranking
+from arboryx.operators import assemble, first_answers, graph, ranking
 
 from . import fixtures as fx
 from .fixtures import EDGES, NODES
@@ -302,3 +302,50 @@ def latest_order_at_shipping(t):
     )
     w = Window.partitionBy("o_custkey").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return timeline.withColumn("asof", F.last("o_orderdate", True).over(w)).where("kind = 1 and asof is not null").select("l_orderkey", "l_linenumber", "asof")
+
+
+_FIRST = (
+    ", f AS MATERIALIZED (SELECT query_id, id, round(x + 1e-11, 8) AS x FROM x2), sc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS rank, least(1.0, x / max(x) OVER (PARTITION BY query_id)) AS score FROM f),"
+    " ff AS MATERIALIZED (SELECT * FROM sc WHERE rank <= 400 AND score >= 0.0001), nd AS (SELECT id, kind, label, abs(score) AS confidence, CASE WHEN kind = 'nation' THEN NULL ELSE kind || ' ' || substr(id, 2, 1) END AS identifier FROM nodes),"
+    " tt AS (SELECT ff.query_id, ff.rank, ff.score, nd.* FROM ff JOIN nd ON nd.id = ff.id) "
+)
+
+
+def _first_sql(tail: str) -> str:
+    step = "SELECT query_id, id, sum(x) AS x FROM (SELECT query_id, dst AS id, 0.5 * sum(x * cond) AS x FROM x{p} JOIN e ON id = src GROUP BY 1, 2 UNION ALL SELECT query_id, id, x FROM seeds) GROUP BY 1, 2"
+    parts = [_RAW, NODES] + [f"x{i} AS MATERIALIZED ({step.format(p=i - 1)})" for i in (1, 2)]
+    return "WITH " + ", ".join(parts) + _FIRST + tail
+
+
+def _first(t):
+    found = first_answers.scored(_spread(t), 400, 0.0001)
+    kind = F.col("kind")
+    nodes = fx.trade_nodes(t).select("id", "label", F.abs("score").alias("confidence"), F.lit(None).cast("string").alias("description"), kind.alias("source_type"), F.when(kind != "nation", F.concat_ws(" ", kind, F.substring("id", 2, 1))).alias("identifier"), F.lit("").alias("location"))
+    return first_answers.assembled(found, nodes, fx.trade_edges(t)), found
+
+
+@query(_first_sql("SELECT query_id, kind AS source_type, identifier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first_) AS INTEGER) AS place FROM (SELECT query_id, kind, coalesce(identifier, '') AS identifier, min(rank) AS first_ FROM tt GROUP BY 1, 2, 3)"))
+def first_sources(t):
+    """Sources of the first generation's results, each once in the order of the nodes."""
+    return _first(t)[0]["sources"]
+
+
+@query(_first_sql("SELECT a.query_id, src, dst, rel, round(max(weight), 8) AS weight FROM edges JOIN ff a ON a.id = src JOIN ff b ON b.id = dst AND b.query_id = a.query_id GROUP BY 1, 2, 3, 4"))
+def first_edges(t):
+    """Edges among the nodes of the first generation's results."""
+    return _first(t)[0]["edges"].withColumn("weight", F.round("weight", 8))
+
+
+@query(
+    _first_sql(
+        ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, rank) AS place FROM tt), l AS (SELECT query_id, string_agg('- [' || id || '] ' || label || ' — ' || coalesce(identifier, 'unknown source'), chr(10) ORDER BY place) AS t, string_agg(id, ',' ORDER BY place) AS cited FROM k WHERE place <= 6 GROUP BY 1)"
+        " SELECT query_id, t AS text, cited FROM l UNION ALL SELECT 'nobody', 'No language model, and no node was found.', ''"
+    ).replace("nd ON nd.id = ff.id) ,", "nd ON nd.id = ff.id),")
+)
+def offline_answers(t):
+    """Answers put together without a language model, one of a question that found nothing; confidences are left out of the comparison."""
+    told, found = _first(t)
+    asked = found.select("query_id").distinct().unionByName(t.spark.createDataFrame([("nobody",)], "query_id string"))
+    out = first_answers.offline_answer(told["nodes"], asked)
+    lines = F.regexp_replace(F.regexp_replace("text", " \\(confidence [0-9.]+\\)", ""), "^No language model: [^\n]*\n", "")
+    return out.select("query_id", lines.alias("text"), F.array_join("cited", ",").alias("cited"))
