@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed forms: a heading of level one or two, a fence, an inline link that is no image.
+#: Fixed forms: a heading of level one or two, a fence, a line that is a term alone, an inline link that is no image.
 HEADING = "^ {0,3}(#{1,2})[ \\t]+(.*?)([ \\t]+#+)?[ \\t]*$"
 FENCE = "^ {0,3}(```|~~~)"
+TERM = "^\\*\\*([^*\\n]+?)\\*\\*\\s*$"
 LINK = "(?<!!)\\[([^\\]\\n]+)\\]\\(([^)\\n]+)\\)"
 
 
@@ -49,3 +50,22 @@ def sections(docs: DataFrame, id_col: str = "id", text_col: str = "text", title:
     end = F.when(F.col("section") < F.col("_last"), F.col("_next"))
     out = parts.select("id", "section", level.alias("level"), heading.alias("heading"), "line_start", end.alias("line_end"), text.alias("body"))
     return out.select("id", "section", "level", "heading", anchor(F.col("heading")).alias("anchor"), "line_start", "line_end", "body", links(F.col("body")).alias("links"))
+
+
+def glossary(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, place, term, definition): the terms of each text in their order, from 1, with what they mean.
+
+    A term is a line in bold alone; its definition is the block of lines after it, blank lines before the block aside, up
+    to a blank line or the next term, joined by spaces. Terms without a definition are left out (and leave a gap
+    in the places). A null text has none. A text's lines are one task's work.
+    """
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\r\n|\r|\n")).alias("_no", "_line")).withColumn("_line", F.trim(F.regexp_replace("_line", "\\s+$|^\\s+", "")))
+    so_far = Window.partitionBy("id").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    told = lines.withColumn("_term", F.col("_line").rlike(TERM)).withColumn("place", F.sum(F.col("_term").cast("int")).over(so_far)).where("place > 0")
+    mine = Window.partitionBy("id", "place")
+    told = told.withColumn("_first", F.min(F.when(~F.col("_term") & (F.col("_line") != ""), F.col("_no"))).over(mine))
+    told = told.withColumn("_end", F.min(F.when((F.col("_line") == "") & (F.col("_no") > F.col("_first")), F.col("_no"))).over(mine))
+    inside = ~F.col("_term") & (F.col("_no") >= F.col("_first")) & (F.col("_end").isNull() | (F.col("_no") < F.col("_end")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("_no", "_line")))), lambda x: x["_line"]), " ")
+    out = told.groupBy("id", "place").agg(F.max(F.when(F.col("_term"), F.trim(F.regexp_extract("_line", TERM, 1)))).alias("term"), said.alias("definition"))
+    return out.where("definition <> ''").select("id", "place", "term", "definition")

@@ -91,3 +91,19 @@ def markdown_sections(t):
     docs = t.documents.select("doc_id", F.concat(head, F.lit("[a](b) ![c](d) [a](b)\n```\n# no\n```\n"), rest).alias("text"))
     out = markdown.sections(docs, "doc_id")
     return out.select("id", "section", "heading", "line_start", "line_end", F.md5("body").alias("body"), (F.size("links") > 0).cast("int").alias("linked"))
+
+
+@query(
+    r"WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS no, unnest(ls) AS raw FROM l),"
+    r" m AS (SELECT doc_id, no, CASE WHEN no % 4 = 0 THEN '**' || substr(md5(raw), 1, 5) || '**  ' WHEN no % 4 = 1 AND doc_id % 2 = 0 THEN ' ' WHEN no % 7 = 3 THEN '' ELSE replace(replace(raw, chr(13), ' '), chr(10), ' ') END AS line FROM e),"
+    r" n AS (SELECT doc_id, no, regexp_replace(line, '\s+$|^\s+', '', 'g') AS line FROM m), t AS (SELECT *, regexp_matches(line, '^\*\*([^*\n]+?)\*\*\s*$') AS term FROM n), p AS (SELECT *, sum(term::INT) OVER (PARTITION BY doc_id ORDER BY no) AS place FROM t),"
+    r" f AS (SELECT *, min(no) FILTER (NOT term AND line <> '') OVER (PARTITION BY doc_id, place) AS first_ FROM p WHERE place > 0), g AS (SELECT *, min(no) FILTER (line = '' AND no > first_) OVER (PARTITION BY doc_id, place) AS end_ FROM f)"
+    r" SELECT doc_id AS id, CAST(place AS BIGINT) AS place, max(CASE WHEN term THEN trim(line, '* ') END) AS term, md5(string_agg(line, ' ' ORDER BY no) FILTER (NOT term AND no >= first_ AND (end_ IS NULL OR no < end_))) AS definition FROM g GROUP BY 1, 2 HAVING count(*) FILTER (NOT term AND no >= first_ AND (end_ IS NULL OR no < end_)) > 0"
+)
+def markdown_glossary(t):
+    """Documents whose every fourth sentence is a term in bold, blank lines between."""
+    one = lambda x, i: (
+        F.when(i % 4 == 0, F.concat(F.lit("**"), F.substring(F.md5(x), 1, 5), F.lit("**  "))).when((i % 4 == 1) & (F.col("doc_id") % 2 == 0), " ").when(i % 7 == 3, "").otherwise(F.replace(F.replace(x, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ")))
+    )
+    docs = t.documents.where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\\. "), one), "\n").alias("text"))
+    return markdown.glossary(docs, "doc_id").withColumn("definition", F.md5("definition"))

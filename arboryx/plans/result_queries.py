@@ -15,8 +15,15 @@ from .graph_queries import _RAW
 from .registry import query
 
 
+def _edges(t):
+    """The trade graph, made and stored once a query."""
+    if "_edges" not in t.__dict__:
+        t.__dict__["_edges"] = cut(fx.trade_edges(t))
+    return t.__dict__["_edges"]
+
+
 def _spread(t):
-    x = graph.spread(graph.conducting(fx.trade_edges(t)), fx.region_seeds(t), "accumulate", hops=2)
+    x = graph.spread(graph.conducting(_edges(t)), fx.region_seeds(t), "accumulate", hops=2)
     return x.withColumn("x", F.round(F.col("x") + 1e-11, 8))
 
 
@@ -56,7 +63,7 @@ def result_nodes(t):
 
 @query(_sql("SELECT query_id, a, b, rel, round(weight, 8) AS weight, seed, rank FROM redges WHERE rank <= 200"))
 def result_edges(t):
-    out = assemble.result_edges(fx.trade_edges(t), _chosen(t), fx.region_seeds(t), _rank_of())
+    out = assemble.result_edges(_edges(t), _chosen(t), fx.region_seeds(t), _rank_of())
     return out.select("query_id", "a", "b", "rel", F.round("weight", 8).alias("weight"), "seed", "rank")
 
 
@@ -66,7 +73,7 @@ def result_edges(t):
     )
 )
 def hebbian_credit(t):
-    out = assemble.hebbian(fx.trade_edges(t), _chosen(t))
+    out = assemble.hebbian(_edges(t), _chosen(t))
     return out.withColumn("delta", F.round(F.col("delta") + 1e-13, 12))
 
 
@@ -79,7 +86,7 @@ def hebbian_credit(t):
 )
 def result_verdicts(t):
     chosen = _chosen(t)
-    edges = assemble.result_edges(fx.trade_edges(t), chosen, fx.region_seeds(t), _rank_of())
+    edges = assemble.result_edges(_edges(t), chosen, fx.region_seeds(t), _rank_of())
     return assemble.verdicts(chosen, edges, fx.region_seeds(t))
 
 
@@ -91,7 +98,7 @@ def result_verdicts(t):
 )
 def result_text(t):
     chosen = _chosen(t)
-    edges = assemble.result_edges(fx.trade_edges(t), chosen, fx.region_seeds(t), _rank_of())
+    edges = assemble.result_edges(_edges(t), chosen, fx.region_seeds(t), _rank_of())
     return assemble.rendered(chosen, edges, fx.trade_nodes(t))
 
 
@@ -321,7 +328,7 @@ def _first(t):
     found = first_answers.scored(_spread(t), 400, 0.0001)
     kind = F.col("kind")
     nodes = fx.trade_nodes(t).select("id", "label", F.abs("score").alias("confidence"), F.lit(None).cast("string").alias("description"), kind.alias("source_type"), F.when(kind != "nation", F.concat_ws(" ", kind, F.substring("id", 2, 1))).alias("identifier"), F.lit("").alias("location"))
-    return first_answers.assembled(found, nodes, fx.trade_edges(t)), found
+    return first_answers.assembled(found, nodes, _edges(t)), found
 
 
 @query(_first_sql("SELECT query_id, kind AS source_type, identifier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first_) AS INTEGER) AS place FROM (SELECT query_id, kind, coalesce(identifier, '') AS identifier, min(rank) AS first_ FROM tt GROUP BY 1, 2, 3)"))
