@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arboryx.operators import findings
+from arboryx.operators import bulk, findings
 
 from .registry import query
 
@@ -52,3 +52,54 @@ def immune_metrics(t):
     found = _found(t).select(e.alias("id"), F.concat(F.lit("c"), e % 4).alias("cell"), "type", "severity", F.when(e % 2 != 0, F.lit("2024-01-01")).alias("resolved_at"), F.when(e % 5 == 0, "none").otherwise("fixed").alias("action"))
     reports = _reports(t).select(F.when(F.col("run_id") % 2 == 0, "query").otherwise("ingest").alias("type"), "run_id", "verdict", F.col("run_id").alias("written"))
     return findings.immune_metrics(pool, found, reports, agents={"query": ("written",)})
+
+
+@query(
+    "WITH d AS (SELECT doc_id, length(text) AS n FROM documents), a AS (SELECT doc_id, n, greatest(40, least(260, n * 38 // 1000)) AS l1, greatest(10, least(24, 10 + n // 3000)) AS l2, greatest(72, least(520, n // 35)) AS k2, greatest(6, least(18, 5 + n // 1400)) AS l3 FROM d),"
+    " b AS (SELECT *, greatest(l2 + 4, least(34, 16 + n // 900)) AS h2, greatest(l3 + 2, least(24, 8 + n // 600)) AS h3 FROM a), c AS (SELECT *, least(420, greatest(72, h3 * 12)) AS m3, greatest(28, least(180, l3 * 4, n // 180)) AS k3 FROM b)"
+    " SELECT doc_id, concat_ws(' ', l1, greatest(l1, least(320, n * 48 // 1000)), least(2500, greatest(400, l1 * 7))) AS dense, concat_ws(' ', l2, h2, k2, least(800, greatest(k2 + 80, h2 * 20))) AS macro,"
+    " concat_ws(' ', l3, h3, CASE WHEN k3 > m3 THEN greatest(24, m3 // 2) ELSE k3 END, m3) AS slice FROM c"
+)
+def density_targets(t):
+    """How many concepts and links a reading of each document is to have."""
+    n = F.length("text")
+    told = t.documents.select("doc_id", bulk.density_targets(n).alias("a"), bulk.macro_targets(n).alias("b"), bulk.slice_targets(n).alias("c"))
+    words = lambda c, names: F.concat_ws(" ", *[F.col(f"{c}.{x}").cast("long").cast("string") for x in names.split()])
+    return told.select("doc_id", words("a", "least stretch links").alias("dense"), words("b", "least most least_links most_links").alias("macro"), words("c", "least most least_links most_links").alias("slice"))
+
+
+_SEEDS = """ent AS (SELECT 'Q' || c_custkey AS qid, c_name AS alias, c_custkey AS k FROM customer UNION ALL SELECT 'Q' || c_custkey, c_name || ' again', c_custkey FROM customer WHERE c_custkey % 10 = 0),
+ok AS (SELECT qid, min(alias) AS name, count(*) AS n, k FROM ent WHERE k % 7 <> 0 AND k % 5 <> 1 GROUP BY qid, k), ids AS (SELECT qid FROM ok UNION SELECT 'Q' || c_custkey FROM customer WHERE c_custkey % 5 = 1),
+tri AS (SELECT 'Q' || l_orderkey AS s, 'P' || l_linenumber % 3 AS p, 'Q' || l_partkey AS o, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), tw AS (SELECT *, s IN (SELECT qid FROM ids) AND o IN (SELECT qid FROM ids) AS whole FROM tri)"""
+
+
+def _seeded(t):
+    key = F.concat(F.lit("Q"), F.col("c_custkey"))
+    once = t.customer.select(key.alias("qid"), F.array("c_name", "c_mktsegment").alias("aliases"))
+    again = t.customer.where("c_custkey % 10 = 0").select(key.alias("qid"), F.array(F.concat("c_name", F.lit(" again"))).alias("aliases"))
+    texts = t.customer.where("c_custkey % 7 <> 0").select(key.alias("qid"), F.repeat("c_name", F.when(F.col("c_custkey") % 4 == 0, 200).otherwise(1)).alias("text"))
+    triples = t.lineitem.select(F.concat(F.lit("Q"), F.col("l_orderkey")).alias("subject"), F.concat(F.lit("P"), F.col("l_linenumber") % 3).alias("predicate"), F.concat(F.lit("Q"), F.col("l_partkey")).alias("object"))
+    names = t.region.where("r_regionkey < 2").select(F.concat(F.lit("P"), F.col("r_regionkey")).alias("pid"), F.array("r_name").alias("aliases"))
+    return bulk.seed(once.unionByName(again), texts, triples, names, t.customer.where("c_custkey % 5 = 1").select(key.alias("qid")))
+
+
+@query(f"WITH {_SEEDS} SELECT 'NODE-' || substr(sha256('seed:' || qid), 1, 12) AS id, qid, name, CAST(least(2048, CASE WHEN k % 4 = 0 THEN 200 ELSE 1 END * (SELECT length(c_name) FROM customer WHERE c_custkey = k)) AS INTEGER) AS chars FROM ok")
+def seed_nodes(t):
+    """Customers as seed entities, some known, some without a text, some twice."""
+    return _seeded(t)["nodes"].select("id", "qid", "name", F.length("text").alias("chars"))
+
+
+@query(f"WITH {_SEEDS} SELECT 'NODE-' || substr(sha256('seed:' || s), 1, 12) AS src, 'NODE-' || substr(sha256('seed:' || o), 1, 12) AS dst, p AS pid, coalesce((SELECT r_name FROM region WHERE 'P' || r_regionkey = p AND r_regionkey < 2), p) AS rel FROM tw WHERE whole")
+def seed_edges(t):
+    """Order lines as triples among them."""
+    return _seeded(t)["edges"]
+
+
+@query(
+    f"WITH {_SEEDS} SELECT 'entities_read' AS name, count(*) AS n FROM ent UNION ALL SELECT 'entities_without_text', count(*) FROM ent WHERE k % 7 = 0 UNION ALL SELECT 'entities_known', count(*) FROM ent WHERE k % 7 <> 0 AND k % 5 = 1"
+    " UNION ALL SELECT 'entities_written', count(*) FROM ok UNION ALL SELECT 'entities_repeated', CAST(sum(n - 1) AS BIGINT) FROM ok UNION ALL SELECT 'texts_cut', count(*) FROM ok WHERE k % 4 = 0"
+    " UNION ALL SELECT 'triples_read', CAST(sum(n) AS BIGINT) FROM tw UNION ALL SELECT 'triples_repeated', CAST(sum(n - 1) AS BIGINT) FROM tw WHERE whole UNION ALL SELECT 'triples_without_ends', CAST(sum(n) AS BIGINT) FROM tw WHERE NOT whole UNION ALL SELECT 'edges_written', count(*) FROM tw WHERE whole"
+)
+def seed_counters(t):
+    """What the run read, skipped, cut and wrote."""
+    return _seeded(t)["counters"]
