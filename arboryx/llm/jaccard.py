@@ -1,4 +1,4 @@
-"""Near-copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets verify them."""
+"""Near-copies by the Jaccard similarity of word shingles: SimHash finds candidates, whole sets verify them."""
 
 from __future__ import annotations
 
@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ..lineage import cut
+from . import simhash
 from .common import components, tiled
 from .substring import variant_of
 
-#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 5e-9 at 0.8.
-BANDS, ROWS = 48, 5
 #: Most rows of a block of a large candidate group, and about the rows of a task for small ones.
 BLOCK_ROWS = 512
 
@@ -37,21 +36,6 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of a set that is not empty."""
-    rng = np.random.default_rng(48)
-    times = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * times + plus).min(axis=0), out=least)
-    key, mix = np.arange(1, BANDS + 1, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * mix
-        key ^= key >> np.uint64(29)
-    return key
-
-
 def spanning_forest(sets: list[np.ndarray], least: float):
     """Edges (i, j) that connect whatever similarities of at least ``least`` connect; no set is empty."""
     sizes = np.array([len(s) for s in sets])
@@ -80,8 +64,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Components of near-copies: (id, variant, component_id, kept).
 
     A link is a Jaccard similarity of at least ``least`` between the sets of ``width``-word shingles;
-    A-Z are lower-cased. BANDS and ROWS suit 0.8 or more. Texts that share a band's key are
-    candidates, and every two texts of a connected group of candidates are compared by their whole
+    A-Z are lower-cased. Texts whose wide SimHash fingerprints agree on a block and lie near each other
+    are candidates (``simhash.wide_links``, which suits 0.8 or more), and every two texts of a connected group of candidates are compared by their whole
     sets, in one task or in tiles of two blocks; a task gives only a spanning forest. Equal sets are
     one entry; null and empty texts are copies of each other.
 
@@ -96,17 +80,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sign(batches):
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column(2)]
-            keys = [band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+            fps = np.array([simhash.wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, len(simhash.WORDS)).view(np.int64)
             copies = [xxh3_128_digest(s.tobytes()) for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "variant", "copy", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(copies, pa.binary()), pa.array([len(s) > 0 for s in sets])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(w) for w in fps.T)], names=["id", "variant", "copy", "some", *simhash.WORDS])
 
-    signed = cut(rows.mapInArrow(sign, f"id {kind}, variant long, copy binary, keys array<long>"))
-    classes = cut(signed.groupBy("copy").agg(F.min(F.struct("id", "variant")).alias("first"), F.first("keys").alias("keys")))
+    signed = cut(rows.mapInArrow(sign, f"id {kind}, variant long, copy binary, some boolean, {', '.join(f'{w} long' for w in simhash.WORDS)}"))
+    words = [F.first(w).alias(w) for w in simhash.WORDS]
+    classes = cut(signed.groupBy("copy").agg(F.min(F.struct("id", "variant")).alias("first"), F.first("some").alias("some"), *words))
     classes = classes.withColumn("rep", F.monotonically_increasing_id())  # holds, since a checkpoint is read
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1").select("key", "a")
-    met = components(keyed.join(shared, "key").select("a", F.col("rep").alias("b"))).withColumnRenamed("component", "c")
+    met = components(simhash.wide_links(classes.where("some"))).withColumnRenamed("component", "c")
     met = cut(met.join(met.groupBy("c").agg(F.count("*").alias("n")), "c"))
     is_small = F.col("n") <= BLOCK_ROWS
     batches = math.ceil((met.where(is_small).count() or 1) / BLOCK_ROWS)

@@ -31,6 +31,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (a Jaccard similarity of 0.8 or more between five-word shingles).
 
+    Found by SimHash fingerprints of 256 bits of those shingles, by blocks and a Hamming distance, and then verified.
     The one of the smallest id stays, and of rows that share it the one with the smallest hash of the
     text; of rows with equal id and text one stays. Rows without an id stay. Null and empty texts are
     copies of each other. An empty table gives no row.

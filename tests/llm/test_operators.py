@@ -793,6 +793,47 @@ def test_block_masks_catch_all_close_pairs(n):
         assert any(diff & (m & (2**64 - 1)) == 0 for m in masks)
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_wide_links(spark, monkeypatch, block):
+    """Equal to links of all pairs where bits differ as at a similarity of 0.8, with buckets in tiles too."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rng, bits = np.random.default_rng(12), []
+    for n in [1] * 60 + [2] * 60 + [25]:
+        first = rng.random(simhash.WIDE) < 0.5
+        bits += [first] + [first ^ (rng.random(simhash.WIDE) < 0.15) for _ in range(n - 1)]
+    fps = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    near = (np.bitwise_count(fps[:, None, :4] ^ fps[None, :, :4]).sum(axis=2) <= simhash.WIDE_DISTANCE).tolist()
+    classes = spark.createDataFrame([(i, *fp) for i, fp in enumerate(fps.view(np.int64).tolist())], ", ".join(f"{c} long" for c in ["rep", *simhash.WORDS]))
+
+    def groups(pairs):
+        root = list(range(len(fps)))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    got = [tuple(r) for r in simhash.wide_links(classes.repartition(4)).collect()]
+    assert all(near[a][b] for a, b in got)
+    assert groups(got) == groups((a, b) for a in range(len(fps)) for b in range(a) if near[a][b])
+    assert simhash.wide_links(classes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 200_000, 7_500_000])
+@pytest.mark.parametrize("k", [9, 45, 360])
+def test_wide_blocks_find_sets_of_similarity_08(n, k):
+    rng, shared = np.random.default_rng(k), k * 8 // 9
+    prints = []
+    for _ in range(500):
+        hashes = rng.integers(0, 1 << 64, 2 * k - shared, np.uint64)
+        prints.append([simhash.wide_fingerprint(hashes[:k]), simhash.wide_fingerprint(hashes[k - shared :])])
+    a, b = np.array(prints).swapaxes(0, 1)
+    blocks = simhash.wide_blocks(n)
+    meet = (simhash.block_keys(a, blocks) == simhash.block_keys(b, blocks)).any(axis=1)
+    near = np.bitwise_count(a ^ b)[:, :4].sum(axis=1) <= simhash.WIDE_DISTANCE
+    assert (meet & near).mean() >= 0.998
+    assert np.bitwise_count(a[1:] ^ a[:-1])[:, :4].sum(axis=1).min() > simhash.WIDE_DISTANCE
+
+
 # pipeline and registry
 
 
@@ -863,6 +904,20 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark, sf, monkeypatch, blo
     assert corpus_pipeline.one_of_near_copies(spark, docs, sf).where("doc_id is null").count() == 1
 
 
+def test_pipeline_finds_near_copies_by_simhash(spark, sf, monkeypatch):
+    """All pairs come from SimHash: where no distance links fingerprints, only equal sets are dropped."""
+    import corpus_pipeline
+
+    words = [f"u{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words).upper(), *(f"s{i} " * 4 + " ".join(f"s{i}{j}" for j in range(k)) for i in range(30) for k in (4, 5))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect())
+    assert kept == [0, *range(3, len(texts), 2)]  # four five-word shingles against five are a similarity of 0.8
+    monkeypatch.setattr(simhash, "WIDE_DISTANCE", -1)
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect())
+    assert kept == [0, 1, *range(3, len(texts))]
+
+
 def test_texts_hash_as_in_the_contract(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {r.doc_id: hashlib.sha256(removed([(x.doc_id, x.text) for x in rows])[r.doc_id][0][2].encode()).hexdigest() for r in rows[:1]}
