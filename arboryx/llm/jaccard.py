@@ -13,7 +13,7 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ..lineage import cut
 from . import simhash
-from .common import components, tiled
+from .common import components, joining_forest, tiled
 from .substring import variant_of
 
 #: Most rows of a block of a large candidate group, and about the rows of a task for small ones.
@@ -36,28 +36,21 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
 
 
-def spanning_forest(sets: list[np.ndarray], least: float):
-    """Edges (i, j) that connect whatever similarities of at least ``least`` connect; no set is empty."""
+def spanning_forest(sets: list[np.ndarray], least: float, group: np.ndarray):
+    """``joining_forest`` of groups of sets, linked by similarities of at least ``least``; no set is empty."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, left, right, rest = np.zeros(len(names), bool), [], [], np.arange(len(sets))
-    while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            p = frontier.pop()
-            own = codes[starts[p] : starts[p] + sizes[p]]
-            mark[own] = True
-            common = np.add.reduceat(mark[codes], starts, dtype=np.int64)[rest]
-            mark[own] = False
-            near = common >= least * (sizes[p] + sizes[rest] - common) - 1e-9
-            if near.any():
-                found = rest[near]
-                left += [p] * len(found)
-                right += found.tolist()
-                frontier += found.tolist()
-                rest = rest[~near]
-    return left, right
+    mark = np.zeros(len(names), bool)
+
+    def near(p, rest):
+        own = codes[starts[p] : starts[p] + sizes[p]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes], starts, dtype=np.int64)[rest]
+        mark[own] = False
+        return common >= least * (sizes[p] + sizes[rest] - common) - 1e-9
+
+    return joining_forest(near, group)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -65,9 +58,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A link is a Jaccard similarity of at least ``least`` between the sets of ``width``-word shingles;
     A-Z are lower-cased. Texts whose wide SimHash fingerprints agree on a block and lie near each other
-    are candidates (``simhash.wide_links``, which suits 0.8 or more), and every two texts of a connected group of candidates are compared by their whole
-    sets, in one task or in tiles of two blocks; a task gives only a spanning forest. Equal sets are
-    one entry; null and empty texts are copies of each other.
+    are candidates (``simhash.wide_links``, which suits 0.8 or more), and every two texts of a connected group of candidates
+    are compared by their whole sets, in one task or, where they are more than BLOCK_ROWS, in blocks and then in tiles of two
+    blocks. A task gives only a spanning forest, and a tile only what connects the groups that blocks have found. Equal sets
+    are one entry; null and empty texts are copies of each other.
 
     ``variant``, a hash of the text, tells rows of one id apart, so that a text links only for itself.
     ``component_id`` is the smallest id reachable over links; ``kept`` are the rows of one text of each
@@ -92,10 +86,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = components(simhash.wide_links(classes.where("some"))).withColumnRenamed("component", "c")
     met = cut(met.join(met.groupBy("c").agg(F.count("*").alias("n")), "c"))
     is_small = F.col("n") <= BLOCK_ROWS
-    batches = math.ceil((met.where(is_small).count() or 1) / BLOCK_ROWS)
-    alone = F.lit(-1)
-    small = met.where(is_small).select("c", "node", F.pmod(F.xxhash64("c"), F.lit(batches)).alias("g"), alone.alias("tile_a"), alone.alias("tile_b"))
-    large = tiled(met.where(~is_small), ["c"], "node", BLOCK_ROWS).select("c", "node", F.xxhash64("c").alias("g"), "tile_a", "tile_b")
+    few = met.where(is_small).count()
+    batches = math.ceil((few or 1) / BLOCK_ROWS)
+    alone, columns = F.lit(-1), ["c", "node", "g", "tile_a", "tile_b", "group"]
+    small = met.where(is_small).withColumns({"g": F.pmod(F.xxhash64("c"), F.lit(batches)), "tile_a": alone, "tile_b": alone})
+    large = tiled(met.where(~is_small), ["c"], "node", BLOCK_ROWS).withColumn("g", F.xxhash64("c"))
 
     def whole(found):
         for batch in found:
@@ -107,16 +102,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = [], []
         for _, part in pdf.groupby("c"):
             node = part["node"].to_numpy()
-            i, j = spanning_forest([np.frombuffer(s, np.uint64) for s in part["hashes"]], least)
-            a += node[i].tolist() if i else []
-            b += node[j].tolist() if j else []
+            group = part["group"].to_numpy()
+            i, j = spanning_forest([np.frombuffer(s, np.uint64) for s in part["hashes"]], least, group)
+            a += group[i].tolist() if i else []
+            b += group[j].tolist() if j else []
         return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
-    tiles = cut(small.unionByName(large).join(classes.select(F.col("rep").alias("node"), "first.id", "first.variant"), "node"))
-    full = rows.join(tiles, ["id", "variant"]).select("c", "node", "g", "tile_a", "tile_b", "text")
-    full = full.mapInArrow(whole, "c long, node long, g long, tile_a int, tile_b int, hashes binary")
-    links = cut(full.groupBy("g", "tile_a", "tile_b").applyInPandas(forest, "a long, b long"))
-    comp = components(links)
+    def links(tiles):
+        named = cut(tiles.select(columns).join(classes.select(F.col("rep").alias("node"), "first.id", "first.variant"), "node"))
+        full = rows.join(named, ["id", "variant"]).select(*columns, "text")
+        full = full.mapInArrow(whole, "c long, node long, g long, tile_a int, tile_b int, group long, hashes binary")
+        return cut(full.groupBy("g", "tile_a", "tile_b").applyInPandas(forest, "a long, b long"))
+
+    own = small.drop("n").unionByName(large.where("tile_a = tile_b").drop("n", "block"))
+    comp = components(links(own.withColumn("group", F.col("node"))))
+    if met.count() > few:
+        comp, tile = cut(comp), ["g", "c", "tile_a", "tile_b"]
+        across = large.where("tile_a < tile_b").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        across = cut(across.select(columns))
+        apart = across.groupBy(tile).agg((F.min("group") < F.max("group")).alias("several")).where("several").select(tile)
+        joined = components(links(across.join(apart, tile, "left_semi")))  # of groups, by their smallest nodes
+        top = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        comp = comp.union(joined.select("node", "node")).distinct().join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     rooted = cut(classes.join(comp, classes.rep == comp.node, "left").select("copy", "first", F.coalesce("component", "rep").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("of")), "root").select("copy", "of")
     kept = (F.col("id") == F.col("of.id")) & (F.col("variant") == F.col("of.variant"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..lineage import cut, small as small_side
-from .common import components, tiled
+from .common import components, joining_forest, tiled
 
 BITS = 64
 #: Buckets up to this size are joined with themselves; larger ones are searched for a spanning forest.
@@ -28,6 +29,8 @@ COMPARED = WORDS[:4]
 #: Wide fingerprints link at so many differing bits of COMPARED: sets of a Jaccard similarity of 0.8 differ in 39 +- 6
 #: (four elements against five, the worst case since four often tie: 48 +- 6), unlike ones in 128 +- 8.
 WIDE_DISTANCE = 72
+#: So many blocks of wide fingerprints are searched first; the others only for what connects the groups found there.
+FIRST_BLOCKS = 8
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -80,15 +83,14 @@ def block_masks(n: int, distance: int) -> list[int]:
 def spanning_forest(fp: np.ndarray, distance: int):
     """Edges (i, j) that connect whatever links of at most ``distance`` connect.
 
-    Breadth first, each point against the points not yet reached. A wide fingerprint is a row of words.
+    Breadth first, each point against the points not yet reached.
     """
     left, right, rest = [], [], np.arange(len(fp))
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             p = frontier.pop()
-            apart = np.bitwise_count(fp[rest] ^ fp[p])
-            near = (apart if fp.ndim == 1 else apart.sum(axis=1, dtype=np.int64)) <= distance
+            near = np.bitwise_count(fp[rest] ^ fp[p]) <= distance
             if near.any():
                 found = rest[near]
                 left += [p] * len(found)
@@ -169,23 +171,26 @@ def block_keys(fps: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return keys
 
 
-def bucket_forest(fp: np.ndarray, distance: int):
-    """``spanning_forest`` of a bucket's wide fingerprints; in one of few rows those without a link are set aside first."""
+def bucket_forest(fp: np.ndarray, distance: int, group: np.ndarray):
+    """``joining_forest`` of a bucket's wide fingerprints; in one of few rows those without a link out of their group are set aside first."""
     some = np.arange(len(fp))
     if len(fp) <= 512:
         apart = np.zeros((len(fp), len(fp)), np.uint16)
         for word in fp.T:
             apart += np.bitwise_count(word[:, None] ^ word)
-        some = np.flatnonzero((apart <= distance).sum(axis=1) > 1)
-    i, j = spanning_forest(fp[some], distance)
+        some = np.flatnonzero(((apart <= distance) & (group[:, None] != group)).any(axis=1))
+    fp = fp[some]
+    i, j = joining_forest(lambda p, rest: np.bitwise_count(fp[rest] ^ fp[p]).sum(axis=1, dtype=np.int64) <= distance, group[some])
     return some[i].tolist(), some[j].tolist()
 
 
 def wide_links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between the rows of ``classes`` (rep long, a column for each of WORDS) whose wide fingerprints link.
 
-    Rows that agree on a block (``wide_blocks``) meet, and a distance of at most WIDE_DISTANCE links them. A bucket gives a
-    spanning forest; one of more than BLOCK_ROWS rows is dealt in tiles of two blocks of rows.
+    Rows that agree on a block (``wide_blocks``) meet, and a distance of at most WIDE_DISTANCE links them. A bucket of the
+    first blocks gives a spanning forest, of more than BLOCK_ROWS rows one for each part of that size. All that is left, the
+    other blocks and tiles of two parts, gives one edge for two groups found by then, so that the edges of a large group are
+    some times its rows, whatever the number of blocks and tiles that its rows meet in.
     """
     n = classes.count()
     blocks, distance = wide_blocks(n), WIDE_DISTANCE
@@ -199,25 +204,59 @@ def wide_links(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, found.ravel())], names=["rep", *COMPARED, "keys"])
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        fp, rep, key = pdf[COMPARED].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["key"].to_numpy()
+        pdf = pdf.iloc[np.lexsort((pdf["rep"], pdf["key"]))]
+        fp, rep, key, group = pdf[COMPARED].to_numpy().view(np.uint64), *(pdf[c].to_numpy() for c in ("rep", "key", "group"))
+        group = np.where(group < 0, rep, group)
         ends = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
         a, b = [], []
         for start, end in zip(ends, ends[1:]):
-            i, j = bucket_forest(fp[start:end], distance) if end - start > 1 else ([], [])
-            a += rep[start:end][i].tolist() if i else []
-            b += rep[start:end][j].tolist() if j else []
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+            if (group[start:end] != group[start]).any():
+                i, j = bucket_forest(fp[start:end], distance, group[start:end])
+                a += [start + x for x in i]
+                b += [start + x for x in j]
+        found = pd.DataFrame({"a": rep[a], "b": rep[b], "low": np.minimum(group[a], group[b]), "high": np.maximum(group[a], group[b])})
+        return found.drop_duplicates(["low", "high"])
+
+    def keyed(df, at, some):
+        return df.select(F.explode(F.slice("keys", at, some)).alias("key"), "rep", *COMPARED, "group")
+
+    def hot_keys(rows):
+        return cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key"))
+
+    def of_several_groups(rows, hot):
+        own = F.when(F.col("group") < 0, F.col("rep")).otherwise(F.col("group"))
+        return cut(rows.join(small_side(hot), "key", "left_semi").groupBy("key").agg((F.min(own) < F.max(own)).alias("several")).where("several").select("key"))
+
+    def few(rows, hot):
+        dealt = F.pmod(F.xxhash64("key"), F.lit(max(1, n * len(blocks) // BLOCK_ROWS)))
+        return rows.join(small_side(hot), "key", "left_anti").withColumns({"g": dealt, "tile_a": F.lit(-1), "tile_b": F.lit(-1)})
+
+    def many(rows, hot, which):
+        return tiled(rows.join(small_side(hot), "key", "left_semi"), ["key"], "rep", BLOCK_ROWS).withColumn("g", F.xxhash64("key")).where(which)
+
+    def edges(met):
+        columns = ["key", "rep", *COMPARED, "group", "g", "tile_a", "tile_b"]
+        met = reduce(DataFrame.union, [m.select(columns) for m in met])
+        found = met.groupBy("g", "tile_a", "tile_b").applyInPandas(forest, "a long, b long, low long, high long")
+        return cut(found.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("e")).select("e.a", "e.b"))
 
     blocked = cut(classes.select("rep", *WORDS).mapInArrow(keys, ", ".join(f"{c} long" for c in ["rep", *COMPARED]) + ", keys array<long>"))
-    keyed = blocked.select(F.explode("keys").alias("key"), "rep", *COMPARED)
-    hot = small_side(cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key")))
-    groups, alone = max(1, n * len(blocks) // BLOCK_ROWS), F.lit(-1)
-    columns = ["key", "rep", *COMPARED, "g", "tile_a", "tile_b"]
-    few = keyed.join(hot, "key", "left_anti").withColumns({"g": F.pmod(F.xxhash64("key"), F.lit(groups)), "tile_a": alone, "tile_b": alone})
-    many = tiled(keyed.join(hot, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS).withColumn("g", F.xxhash64("key"))
-    met = few.select(columns).union(many.select(columns))
-    return met.groupBy("g", "tile_a", "tile_b").applyInPandas(forest, "a long, b long")
+    rows = keyed(blocked.withColumn("group", F.lit(-1).cast("long")), 1, FIRST_BLOCKS)
+    hot = hot_keys(rows)
+    is_hot = not hot.isEmpty()
+    first = edges([few(rows, hot), *([many(rows, hot, "tile_a = tile_b")] if is_hot else [])])
+    named = components(first).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    grouped = cut(blocked.join(named, "rep", "left").withColumn("group", F.coalesce("group", F.lit(-1))))
+    met = []
+    if is_hot:
+        rows = keyed(grouped, 1, FIRST_BLOCKS)
+        met.append(many(rows, of_several_groups(rows, hot), "tile_a < tile_b"))
+    rows = keyed(grouped, FIRST_BLOCKS + 1, len(blocks))
+    hot = hot_keys(rows)
+    met.append(few(rows, hot))
+    if not hot.isEmpty():
+        met.append(many(rows, of_several_groups(rows, hot), "tile_a <= tile_b"))
+    return first.union(edges(met))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4) -> DataFrame:

@@ -818,6 +818,31 @@ def test_wide_links(spark, monkeypatch, block):
     assert simhash.wide_links(classes.limit(0)).count() == 0
 
 
+def test_edges_of_a_large_group_of_near_copies_are_some_times_its_rows(spark, monkeypatch):
+    """Not a forest for each block that they meet in, nor for each tile, and yet one component."""
+    rng, n, counts = np.random.default_rng(13), 300, []
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    bits = (rng.random(simhash.WIDE) < 0.5) ^ (rng.random((n, simhash.WIDE)) < 0.06)
+    fps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    classes = spark.createDataFrame([(i, *fp) for i, fp in enumerate(fps.tolist())], ", ".join(f"{c} long" for c in ["rep", *simhash.WORDS]))
+    found = simhash.wide_links(classes).distinct()
+    assert found.count() <= 9 * n
+    assert {r.component for r in simhash.components(found).collect()} == {0} and simhash.components(found).count() == n
+
+    def counted(edges, of=jaccard.components):
+        counts.append(edges.distinct().count())
+        return of(edges)
+
+    words = [f"v{i}" for i in range(200)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(5, 195)]
+    monkeypatch.setattr(jaccard, "components", counted)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = jaccard.near_duplicates(docs).collect()
+    assert len(got) == len(texts) and {r.component_id for r in got} == {0}
+    assert sum(counts[1:]) <= 3 * len(texts)
+
+
 @pytest.mark.parametrize("n", [1000, 200_000, 7_500_000])
 @pytest.mark.parametrize("k", [9, 45, 360])
 def test_wide_blocks_find_sets_of_similarity_08(n, k):
