@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from ..lineage import cut
+from ..lineage import cut, small as small_side
 from . import simhash
 from .common import components, joining_forest, tiled
 from .substring import variant_of
@@ -120,8 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp, tile = cut(comp), ["g", "c", "tile_a", "tile_b"]
         across = large.where("tile_a < tile_b").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
         across = cut(across.select(columns))
-        apart = across.groupBy(tile).agg((F.min("group") < F.max("group")).alias("several")).where("several").select(tile)
-        joined = components(links(across.join(apart, tile, "left_semi")))  # of groups, by their smallest nodes
+        apart = cut(across.groupBy(tile).agg((F.min("group") < F.max("group")).alias("several")).where("several").select(tile))
+        joined = components(links(across.join(small_side(apart), tile, "left_semi")))  # of groups, by their smallest nodes
         top = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
         comp = comp.union(joined.select("node", "node")).distinct().join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     rooted = cut(classes.join(comp, classes.rep == comp.node, "left").select("copy", "first", F.coalesce("component", "rep").alias("root")))
