@@ -86,6 +86,11 @@ def citations(x: Column, prefix: str = "NODE-") -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(f"\\[({prefix}[0-9a-f]+)\\]"), 1))
 
 
+def capitalised(x: Column, least: int = 6) -> Column:
+    """Each capitalised ASCII word of ``least`` letters or more, once. Word characters are ASCII's, as in RE2: other letters end a word (Java's \\b takes them in)."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?<![A-Za-z0-9_])[A-Z][a-z]{{{least - 1},}}(?![A-Za-z0-9_])"), 0))
+
+
 def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit("href=\"([^\"#]+)"), 1))
 

@@ -39,9 +39,8 @@ _NAMES = (
 )
 def name_anchor_seeds(t):
     """Up to eight documents per benchmark item that share a capitalised name with it, the rarest names first."""
-    pattern = F.lit("\\b[A-Z][a-z]{5,}\\b")
-    index = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, 0))).alias("name"))
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, 0))).alias("name"))
+    index = t.documents.select("doc_id", F.explode(text.capitalised(F.col("text"))).alias("name"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(text.capitalised(F.col("text"))).alias("name"))
     rarity = index.groupBy("name").agg(F.count("*").alias("df"))
     hits = asked.join(index, "name").join(rarity, "name").select("query_id", F.col("doc_id").alias("id"), "name", "df")
     return ranking.top(hits, ["query_id"], [F.col("df"), F.col("name"), F.col("id")], 8, "seat").drop("df")
