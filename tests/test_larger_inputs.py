@@ -1,8 +1,13 @@
 """Operators where a larger or an odd input once gave another result, or work that grew with its square."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from arboryx.functions import text
+from arboryx.operators import registry
+from tests.test_registry import by_loop
 
 
 def one(spark, column):
@@ -11,3 +16,33 @@ def one(spark, column):
 
 def test_letters_other_than_ascii_end_a_capitalised_word(spark):
     assert one(spark, text.capitalised(F.lit("ÄEnlich Reelleß Heiter, Heiter9 _Erchbe Enlich Kürzer"))) == ["Enlich", "Reelle", "Heiter"]
+
+
+@pytest.mark.parametrize("few", [registry.FEW_KNOWN, 0])
+def test_links_where_mentions_are_and_by_shuffles_are_those_of_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(registry, "FEW_KNOWN", few)
+    rng = random.Random(7)
+    vec = lambda: rng.choice([None, [1.0, 0.0], [0.9, 0.3], [0.0, 1.0], [-1.0, 0.2], [0.0, 0.0], [1.0, 0.0, 0.0]])
+    rows = [(o, rng.choice(["zeus", "hera", "rhea", "", None]), rng.choice([None, [], rng.sample(["Q1", "Q2", "Q3"], 2)]), vec()) for o in rng.sample(range(500), 60)]
+    nodes = [("a", "zeus", ["Q2"], [1.0, 0.0]), ("b", "zeus", None, [0.9, 0.3])]
+    df = spark.createDataFrame(rows, "ord long, label string, external array<string>, v array<double>")
+    known = spark.createDataFrame(nodes, "node string, label string, external array<string>, v array<double>")
+
+    def loop(mentions):  # vectors of another length never match
+        wide = lambda v: None if v is None else ([*v, 0.0, 0.0, 0.0] if len(v) == 2 else [0.0, 0.0, *v])
+        return by_loop([(*m[:3], wide(m[3])) for m in mentions], [(*n[:3], wide(n[3])) for n in nodes])
+
+    assert {r.ord: (r.node, r.signal, pytest.approx(r.score)) for r in registry.link_in_order(df, known).collect()} == loop(rows)
+
+
+def test_mentions_of_one_name_do_not_all_meet(spark):
+    """A name of 3,000 mentions with vectors once made 4.5 million pairs in the first round."""
+    df = spark.range(3000).selectExpr("id AS ord", "'zeus' AS label", "CAST(NULL AS ARRAY<STRING>) AS external", "array(1.0D, id / 1e6) AS v")
+    known = registry.link_in_order(df)
+    sizes = []
+    linked, registry._linked = registry._linked, lambda own, knows, placed: sizes.append(knows.count()) or linked(own, knows, placed)
+    try:
+        assert registry.link_in_order(df).groupBy("node").count().collect() == [("m0", 3000)]
+    finally:
+        registry._linked = linked
+    assert max(sizes) == 1 and known.count() == 3000
