@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arboryx.functions import text
+from arboryx.lineage import cut, small
 
 #: Confidence of a node minted at each tier.
 CONFIDENCE = {4: 0.9, 3: 0.75, 2: 0.65, 1: 0.55, 0: 0.5}
@@ -35,15 +36,21 @@ def cascade(groups: DataFrame, candidates: DataFrame, aliases: DataFrame, types:
     ``label`` is an entity's first alias in the first of ``languages`` that has one, for tier 0 the group's spelling.
     """
     keys = ["form", "ner"]
+    # stored, so that what follows doesn't make them again for each of its joins, in one plan of all copies
+    groups, accepted = cut(groups), cut(accepted)
     known = accepted.select("ner").distinct().withColumn("_known", F.lit(True))
-    hits = groups.join(known.drop("_known"), "ner", "left_semi").join(candidates, "form").groupBy(*keys, "entity").agg(F.first("text").alias("text"), F.count_distinct("language").alias("found_in"))
-    fitting = types.join(accepted.where("type IS NOT NULL"), "type").select("entity", "ner").distinct()
-    free = accepted.where("type IS NULL").select("ner").distinct()
+    known = small(cut(known))
+    looked = small(cut(groups.join(known.drop("_known"), "ner", "left_semi")))
+    hits = cut(looked.join(candidates, "form").groupBy(*keys, "entity").agg(F.first("text").alias("text"), F.count_distinct("language").alias("found_in")))
+    fitting = types.join(small(accepted.where("type IS NOT NULL")), "type").select("entity", "ner").distinct()
+    free = small(cut(accepted.where("type IS NULL").select("ner").distinct()))
     survivors = hits.join(free, "ner", "left_semi").unionByName(hits.join(free, "ner", "left_anti").join(fitting, ["entity", "ner"], "left_semi"))
     strength = survivors.join(aliases, "entity", "left").groupBy(*keys, "entity", "found_in", "language").agg(F.max(text.match_strength(F.col("alias"), F.col("text"))).alias("strength"))
     evidence = strength.groupBy(*keys, "entity", "found_in").agg(F.count_if(F.col("strength") == 4).alias("exact"), F.count_if(F.col("strength") >= 3).alias("cased"))
-    best = evidence.groupBy(*keys).agg(
-        F.count("*").alias("left_over"), F.max("exact").alias("exact"), F.max_by(F.struct("entity", "cased"), F.struct("cased", "found_in", "entity")).alias("best")
+    best = cut(
+        evidence.groupBy(*keys).agg(
+            F.count("*").alias("left_over"), F.max("exact").alias("exact"), F.max_by(F.struct("entity", "cased"), F.struct("cased", "found_in", "entity")).alias("best")
+        )
     )
     tier = F.when((F.col("left_over") == 1) & (F.col("exact") >= 2), 4).when(F.col("best.cased") >= 2, 3).otherwise(0)
     reason = (
@@ -54,7 +61,8 @@ def cascade(groups: DataFrame, candidates: DataFrame, aliases: DataFrame, types:
     )
     told = groups.join(known, "ner", "left").join(hits.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left").join(best, keys, "left").withColumn("tier", tier)
     order = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("language"))
-    names = aliases.where(order > 0).groupBy("entity").agg(F.min_by("alias", F.struct(order, "ordinal")).alias("name"))
+    chosen = small(cut(best.select("best.entity").distinct()))
+    names = aliases.where(order > 0).join(chosen, "entity", "left_semi").groupBy("entity").agg(F.min_by("alias", F.struct(order, "ordinal")).alias("name"))
     minted = told.withColumn("entity", F.when(F.col("tier") > 0, F.col("best.entity"))).withColumn("reason", reason).join(names, "entity", "left")
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), F.col("tier"))
     return minted.select(*keys, "mentions", "tier", "entity", F.coalesce("name", "text").alias("label"), confidence.alias("confidence"), "reason")
