@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboryx.lineage import numbered
+from arboryx.lineage import cut, numbered
 
 
 def multi_get(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,16 +59,21 @@ def search(nodes: DataFrame, asked: DataFrame, near: DataFrame | None = None, li
     Tier 0 is the node whose id is the text, tier 1 those whose label has it, whatever the case. Where these
     are fewer than min(3, limit), ``near`` (query_id, id, rank) fills up as tier 2. Labels are found by their
     runs of three characters, and of one and two for texts as short as that, so that a text meets only
-    labels that hold its beginning; empty texts find nothing.
+    labels that hold its beginning; empty texts find nothing. Equal labels are one, with the ``limit`` smallest of their
+    ids, and so are equal texts: no more of them can be among the first.
     """
+    first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where(F.col("_n") <= limit).drop("_n")
     low = F.lower("label")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - (n - 1), F.lit(1))), lambda i: F.substring("low", i, F.lit(n)))
     grams = F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
-    index = nodes.select("id", low.alias("low"), F.explode(grams).alias("gram"))
+    held = cut(first(nodes.select(low.alias("low"), "id").distinct(), "low"))
+    index = held.select("low").distinct().select("low", F.explode(grams).alias("gram"))
     texts = asked.select("query_id", "text", F.lower("text").alias("q")).where(F.length("q") > 0)
     exact = nodes.join(texts, F.col("id") == F.col("text")).select("query_id", "id", F.lit(0).alias("tier"), F.lit(0).alias("near"))
-    holds = index.join(texts.withColumn("gram", F.substring("q", 1, 3)), "gram").where(F.contains("low", "q"))
-    found = exact.unionByName(holds.select("query_id", "id", F.lit(1).alias("tier"), F.lit(0).alias("near")))
+    words = texts.select("q").distinct().withColumn("gram", F.substring("q", 1, 3))
+    holds = index.join(words, "gram").where(F.contains("low", "q")).select("q", "low")
+    ids = cut(first(holds.join(held, "low").select("q", "id").distinct(), "q"))
+    found = cut(exact.unionByName(texts.join(ids, "q").select("query_id", "id", F.lit(1).alias("tier"), F.lit(0).alias("near"))))
     if near is not None:
         counts = found.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
         few = texts.select("query_id").join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(3, limit)).select("query_id")
@@ -78,6 +83,25 @@ def search(nodes: DataFrame, asked: DataFrame, near: DataFrame | None = None, li
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "t.tier")
 
 
+def closest(nodes: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, id, rank): of the nodes (id, grp, x) of a query's group but ``own`` the ``k`` of the closest x, ties by id.
+
+    ``asked`` is (query_id, own, grp, x). A group's different x are numbered in their order, so a query meets those of the k
+    places on either side, each with its k + 1 smallest ids, and equal queries meet them once; the x of a group are known so
+    finely that the distance tells two of them apart.
+    """
+    top = lambda df, by, order, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+    points = asked.select("grp", "x").distinct()
+    both = nodes.select("grp", "x", F.lit(1).alias("here"), F.lit(0).alias("told")).unionByName(points.select("grp", "x", F.lit(0).alias("here"), F.lit(1).alias("told")))
+    levels = both.groupBy("grp", "x").agg(F.max("here").alias("here"), F.max("told").alias("told"))
+    placed = cut(levels.withColumn("place", F.sum("here").over(Window.partitionBy("grp").orderBy("x"))))
+    few = top(nodes.select("grp", "x", "id"), ["grp", "x"], ["id"], k + 1).drop("rank").join(placed.where("here = 1").select("grp", "x", "place"), ["grp", "x"])
+    reach = placed.where("told = 1").select("grp", F.col("x").alias("_x"), F.explode(F.sequence(F.col("place") - k, F.col("place") + k + 1)).alias("place"))
+    met = reach.join(few, ["grp", "place"]).withColumn("far", F.abs(F.col("_x") - F.col("x")))
+    some = cut(top(met, ["grp", "_x"], ["far", "id"], k + 1).select("grp", F.col("_x").alias("x"), "far", "id"))
+    return top(asked.join(some, ["grp", "x"]).where("id <> own"), ["query_id"], ["far", "id"], k).select("query_id", "id", "rank")
+
+
 def not_named(rows: DataFrame, question: str, expected: str) -> DataFrame:
     """Rows with the expected names that the question does not hold as whole words; rows left without any go."""
     plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arboryx.operators import lookup, ranking, spans, watch
+from arboryx.operators import lookup, spans, watch
 
 from . import fixtures as fx
 from .fixtures import EDGES, NODES
@@ -104,8 +104,7 @@ def node_search(t):
     n = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
     low = F.lower("label")
     q = n.where("k % 50 = 0").select(F.col("k").alias("query_id"), F.when(F.col("k") % 3 == 0, F.col("id")).when(F.col("k") % 3 == 1, F.substring(low, F.lit(3), (1 + F.floor(F.col("k") / 50) % 9).cast("int"))).otherwise(F.concat(F.lit("~"), low)).alias("text"), F.col("id").alias("own"), "size", F.col("price").alias("qp"))
-    close = n.join(q, "size").where("id <> own").withColumn("far", F.abs(F.col("qp") - F.col("price")))
-    near = ranking.top(close, ["query_id"], [F.col("far"), F.col("id")], 20).select("query_id", "id", "rank")
+    near = lookup.closest(n.select("id", F.col("size").alias("grp"), F.col("price").alias("x")), q.select("query_id", "own", F.col("size").alias("grp"), F.col("qp").alias("x")))
     return lookup.search(n.select("id", "label"), q.select("query_id", "text"), near)
 
 

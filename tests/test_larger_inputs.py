@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arboryx.functions import text
-from arboryx.operators import ranking, registry, resolution, watch
+from arboryx.operators import density, graph, lookup, ranking, registry, resolution, watch
+from tests.test_density import brute, frame
 from tests.test_registry import by_loop
 
 
@@ -104,3 +105,51 @@ def test_places_among_all_make_no_row_per_pair(spark, monkeypatch):
         asked, held = v.where("id % 5 = 0"), [spark.createDataFrame(sorted(p), "query_id long, id long") for p in (targets, gone)]
         got = {(r.query_id, r.id): r["rank"] for r in ranking.places(v, asked, *held, apart=apart).collect()}
         assert got == {(q, t): place(q, t) for q, t in targets}
+
+
+@pytest.mark.parametrize("seed,m,samples,single,block", [(1, 4, None, False, 1024), (2, 3, 5, False, 10), (3, 3, 1, True, 10), (4, 5, 3, False, 7), (5, 6, 6, False, 16)])
+def test_density_clusters_of_many_copies(spark, monkeypatch, seed, m, samples, single, block):
+    """Every copy of a vector met all others; tiles hold each vector once now, with the same ties by ids."""
+    monkeypatch.setattr(density, "BLOCK_POINTS", block)
+    monkeypatch.setattr(density, "PACKS", 2)
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-2, 3, size=(24, 3)).astype(float)[rng.integers(0, 24, 110)]
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    if seed % 2:
+        x = x[norm[:, 0] > 0]
+    got = {r.id: r.cluster for r in density.density_clusters(frame(spark, x), m, samples, single).collect()}
+    assert [got[i] for i in range(len(x))] == brute(x, m, samples or m, single)[0]
+    n = len({tuple(v) for v in x.tolist()})
+    edges = density.tile_trees(frame(spark, x).selectExpr("id", "v", "1.0D AS core")).where("w is not null").count()
+    assert edges <= len(x) + n * (-(-n // block) + 2)
+
+
+def test_closest_and_equal_labels_make_no_row_per_pair(spark):
+    """All nodes of a group met all queries of it, and all nodes of a name all texts that it holds."""
+    rng = random.Random(4)
+    nodes = [(f"p{i}", rng.randrange(3), rng.choice([1.0, 1.5, 2.0, 2.25, 4.0, 9.0])) for i in range(90)]
+    asked = [(i, f"p{i}", nodes[i][1], nodes[i][2]) for i in range(0, 90, 7)] + [(1000, "other", 1, 3.0), (1001, "other", 2, -5.0)]
+    got = lookup.closest(spark.createDataFrame(nodes, "id string, grp int, x double"), spark.createDataFrame(asked, "query_id long, own string, grp int, x double"), 4)
+    want = {(q, r + 1, n[0]) for q, own, g, x in asked for r, n in enumerate(sorted((n for n in nodes if n[1] == g and n[0] != own), key=lambda n: (abs(n[2] - x), n[0]))[:4])}
+    assert {(r.query_id, r["rank"], r.id) for r in got.collect()} == want
+
+    names = [(f"p{i:03d}", ["Red Ring", "red ring", "blue bolt"][i % 3]) for i in range(300)]
+    texts = [(q, ["ring", "p004", "b", "zzz"][q % 4]) for q in range(80)]
+    found = lookup.search(spark.createDataFrame(names, "id string, label string"), spark.createDataFrame(texts, "query_id long, text string"), limit=5)
+    rows = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        rows.setdefault(texts[r.query_id][1], set()).add((r.query_id, r["rank"], r.id, r.tier))
+    reds, blues, every = [n for n, label in names if "ing" in label][:5], [n for n, label in names if "b" in label][:5], range(20)
+    assert rows["ring"] == {(4 * q, i + 1, n, 1) for q in every for i, n in enumerate(reds)} and rows["b"] == {(4 * q + 2, i + 1, n, 1) for q in every for i, n in enumerate(blues)}
+    assert rows["p004"] == {(4 * q + 1, 1, "p004", 0) for q in every} and "zzz" not in rows
+
+
+def test_a_neighbourhood_makes_rows_of_starts_last(spark):
+    """Rows of a start and a node were shuffled to be given their start's name."""
+    edges = spark.createDataFrame([(f"a{i}", f"b{i % 7}", 1.0) for i in range(150)], "src string, dst string, weight double")
+    out = graph.neighbourhood(edges, spark.range(150).selectExpr("concat('a', id) AS id"), 2)
+    got = {(r.start, r.id, r.distance) for r in out.collect()}
+    assert got == {(f"a{i}", f"a{j}", 0 if i == j else 2) for i in range(150) for j in range(150) if i % 7 == j % 7} | {(f"a{i}", f"b{i % 7}", 1) for i in range(150)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("explode")[0]
